@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontamination
+from .packing import op5_packing
 from .secrets import op3_secret_scan
+from .token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op5_packing, op7_token_files)}
 ORACLES: dict[str, str] = {}
