@@ -1,15 +1,15 @@
 """Token ids of whole texts, by the tokenizers library behind a bounded cache of chunks.
 
 Neither vocabulary file forms a token across the border from a character to an ASCII white-space character, so a text may
-be cut there and each distinct chunk encoded once. Texts with other Unicode white space are encoded whole, because such a
-space may stand inside a white-space run. ``tests/llm/test_tokens.py`` compares the result with the library's own.
+be cut there, and at some safe places within words, and each distinct chunk encoded once. Texts with other Unicode white
+space or the string of a special token are encoded whole, because those may reach across such a place. ``tests/llm/test_tokens.py`` compares the result with the library's own.
 """
 from __future__ import annotations
 
 import os
 import re
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -17,12 +17,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Unicode white space outside ASCII, and the separators that some engines count as such.
 _ODD = re.compile("[\\x1c-\\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
-_WITH_SPACE = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
-_NO_SPACE = re.compile(r"[^ \t\n\r\v\f]+")
+# A run of Latin letters (U+0130 aside: its lower case is two characters) ends before any other ASCII character; a run of ASCII punctuation (without the apostrophe, which may
+# start a contraction) ends before a space, letter or digit; one line break between other characters stands alone. What
+# these don't cover goes up to the next white space, with all the white space before it.
+_LATIN = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
+_LETTERS = rf"[{_LATIN}]+(?=[\x00-@\[-`{{-\x7f]|$)"
+_MARKS = rf"[!-&(-/:-@\[-`{{-~]+(?=[ \t\n\r\v\f{_LATIN}0-9]|$)"
+_WITH_SPACE = re.compile(rf"[\t\n\r\v\f](?=[^ \t\n\r\v\f])| ?{_LETTERS}| ?{_MARKS}|[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
+_NO_SPACE = re.compile(rf"{_LETTERS}|{_MARKS}|[^ \t\n\r\v\f]+")
 #: Chunks of more characters are encoded but not kept.
 KEPT_CHARS = 64
 #: The cache starts anew at so many chunks.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 1_000_000
 #: Characters handled at once.
 BATCH_CHARS = 1_000_000
 
@@ -41,6 +47,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         # A vocabulary that drops white space gives no ids for it, so chunks need not carry theirs.
         drops = not self.tokenizer.encode(" \n a \t", add_special_tokens=False).ids[1:]
@@ -56,31 +63,40 @@ class Encoder:
     def _add(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                if self.n == len(self.offset):
-                    self.offset, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.offset, self.count))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.offset[self.n], self.count[self.n] = self.used, len(ids)
-                self.place[chunk] = self.n
-                self.used += len(ids)
-                self.n += 1
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.cumsum(count)
+            while self.used + ends[-1] > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            while self.n + len(part) > len(self.offset):
+                self.offset, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.offset, self.count))
+            self.flat[self.used : self.used + ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1])
+            self.offset[self.n : self.n + len(part)], self.count[self.n : self.n + len(part)] = self.used + ends - count, count
+            self.place.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+            self.used += int(ends[-1])
+            self.n += len(part)
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' places, -1 where they are new."""
+        return np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[t] if _ODD.search(t) else self.cut(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.place)
-        if new and len(self.place) + len(new) > KEPT_CHUNKS:
-            self._clear()
-            new = set(chain.from_iterable(cut))
-        self._add(list(new))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        cut = [[t] if _ODD.search(t) or any(x in t for x in self.special) else self.cut(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        at = self._places(flat)
+        new = dict.fromkeys(flat[k] for k in np.flatnonzero(at < 0).tolist())
+        if new:
+            if len(self.place) and len(self.place) + len(new) > KEPT_CHUNKS:
+                self._clear()
+                new = dict.fromkeys(flat)
+            self._add(list(new))
+            missing = np.flatnonzero(at < 0) if len(new) < self.n else np.arange(len(flat))
+            at[missing] = self._places([flat[k] for k in missing.tolist()])
         counts = self.count[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.offset[at] - (ends - counts), counts) + np.arange(total)]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         borders = np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]]
         for chunk in new:
             if len(chunk) > KEPT_CHARS:
