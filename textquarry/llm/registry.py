@@ -4,10 +4,11 @@ from __future__ import annotations
 from .decontaminate import op1_decontamination
 from .fingerprint import op6_fingerprint
 from .language import op2_language
+from .lines import op8_line_dedup
 from .packing import op5_packing
 from .secrets import op3_secret_scan
 from .simhash import op9_simhash
 from .token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op5_packing, op6_fingerprint, op7_token_files, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op5_packing, op6_fingerprint, op7_token_files, op8_line_dedup, op9_simhash)}
 ORACLES: dict[str, str] = {}
