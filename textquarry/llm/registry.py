@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .fingerprint import op6_fingerprint
+from .html_text import op10_html_text
 from .language import op2_language
 from .lines import op8_line_dedup
 from .packing import op5_packing
@@ -10,5 +11,5 @@ from .secrets import op3_secret_scan
 from .simhash import op9_simhash
 from .token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op5_packing, op6_fingerprint, op7_token_files, op8_line_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op5_packing, op6_fingerprint, op7_token_files, op8_line_dedup, op9_simhash, op10_html_text)}
 ORACLES: dict[str, str] = {}
