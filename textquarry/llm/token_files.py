@@ -140,7 +140,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition(F.col("shard")).mapInArrow(read, READ)
+    return shards.repartition(max(1, manifest.count()), F.col("shard")).mapInArrow(read, READ)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
