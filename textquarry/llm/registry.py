@@ -1,6 +1,8 @@
 """The queries of this subpackage and their SQL."""
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import op4_chat_format
 from .decontaminate import op1_decontamination
 from .fingerprint import op6_fingerprint
@@ -13,4 +15,5 @@ from .simhash import op9_simhash
 from .token_files import op7_token_files
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op4_chat_format, op5_packing, op6_fingerprint, op7_token_files, op8_line_dedup, op9_simhash, op10_html_text)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
