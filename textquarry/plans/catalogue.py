@@ -1,5 +1,8 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""All registered queries and the SQL that must give the same rows."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval
+
+PARTS = (retrieval,)
+QUERIES = {k: q for p in PARTS for k, q in p.C.queries.items()}
+ORACLES = {k: o for p in PARTS for k, o in p.C.oracles.items()}
