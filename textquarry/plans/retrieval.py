@@ -166,10 +166,10 @@ def a20_mean_pool(t: Tables):
     return e.groupBy(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@C.add("WITH s AS (SELECT doc_id, text, CASE WHEN length(text) <= 420 THEN [0] ELSE range(0, length(text) - 40, 380) END AS st FROM documents), e AS (SELECT doc_id, unnest(st) AS start, text FROM s) SELECT doc_id, start::BIGINT AS start, sha256(substring(text, start::BIGINT + 1, 420)) AS segment_sha256 FROM e")
+@C.add("WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 40, 1), 380)) AS start FROM documents) SELECT doc_id, start, sha256(text[start + 1 : start + 420]) AS segment_sha256 FROM s")
 def r7_segments(t: Tables):
-    e = t.documents.select("doc_id", F.posexplode(R.embedding_segments(F.col("text"))).alias("k", "segment"))
-    return e.select("doc_id", (F.col("k") * 380).cast("long").alias("start"), F.sha2("segment", 256).alias("segment_sha256"))
+    each = F.transform(R.embedding_segments(F.col("text")), lambda s, k: F.struct((k * 380).cast("long").alias("start"), F.sha2(s, 256).alias("segment_sha256")))
+    return t.documents.select("doc_id", F.inline(each))
 
 
 @C.add("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
