@@ -7,9 +7,9 @@ or subtracts its vector, and fingerprints of partitions add up. Since the signs
 mean square of a fingerprint's lanes estimates the squared norm of the multiset, and that of a difference the squared
 norm of the multisets' difference; likeness is 1 - difference / (both norms), held within 0 to 1.
 
-``op6`` compares each document with its edited text and with the next document. Documents are range-partitioned by
-falling doc_id; within a partition a task holds the current and the next row. The first and the last row of each partition
-are kept aside and meet in a join on the partitions' order, so the text is shuffled once and no task sees more than its part.
+``op6`` compares each document with its edited text and with the next document. Documents are dealt to parts by borders of
+falling doc_id (found on the doc_id column alone), and the first row of each part goes to the part before it as well, so
+the text is shuffled once; within a part a task holds the current and the next row.
 
 Defined results: null text counts as empty; the empty text has the zero fingerprint, whose likeness to itself is 1 and
 to any other 0; rows with the same doc_id are ordered by text; null doc_ids come last; a table of one row is its own next;
@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import table
 
 LANES, KEY = 512, b"multiset"
 #: Rows of a range partition, about.
@@ -99,9 +99,7 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", out_col: str
     """``docs`` with the fingerprint as bytes, little-endian lanes."""
 
     @F.pandas_udf("binary")
-    def each(batches: Iterator):
-        import pandas as pd
-
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([fingerprint(t).astype("<u2").tobytes() for t in batch], dtype=object)
 
@@ -121,50 +119,53 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``OUT`` for every document: its fingerprint beside that of its edited text and of the next document."""
     kinds = dict(x.split() for x in OUT.split(", "))
     arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-    schema = OUT + ", part int, side string, text string"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ids = rows.select("doc_id")
+    n = max(1, -(-ids.count() // part_rows))
+    # Borders of the parts and the first doc_id of each: as many numbers as there are parts.
+    borders = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 8 * n)).first()[0] if n > 1 else []
+    borders = np.unique(np.array(borders or [], np.int64))
+
+    def part_of(values: pd.Series) -> np.ndarray:
+        """Falling doc_ids have rising parts."""
+        return (len(borders) - np.searchsorted(borders, values.to_numpy(np.int64), "left")).astype(np.int32)
+
+    def parts_of(values: pd.Series) -> pd.Series:
+        return pd.Series(part_of(values))
+
+    part = F.pandas_udf(parts_of, "int")
+    ranked = F.coalesce("doc_id", F.lit(-(1 << 63)))  # null is last
+    heads = sorted((r["part"], r["first"]) for r in ids.select(ranked.alias("id")).groupBy(part("id").alias("part")).agg(F.max("id").alias("first")).collect())
+    before = {first: heads[k - 1][0] for k, (_, first) in enumerate(heads)}  # the part that needs these rows too
+
+    def places_of(values: pd.Series) -> pd.Series:
+        found = []
+        for v, own in zip(values.tolist(), part_of(values).tolist(), strict=True):
+            found.append([{"part": own, "guest": 0}] + ([{"part": before[v], "guest": 1}] if v in before else []))
+        return pd.Series(found, dtype=object)
+
+    places = F.pandas_udf(places_of, "array<struct<part:int,guest:int>>")
     order = F.col("doc_id").desc_nulls_last()
-    dealt = rows.repartitionByRange(max(1, -(-rows.count() // part_rows)), order).sortWithinPartitions(order, "text")
-
-    def emit(found: list[tuple], part: int, side: str | None = None, text: str | None = None) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [()] * len(kinds)
-        n = len(found)
-        arrays = [pa.array(c, arrow[k]) for c, k in zip(columns, kinds.values(), strict=True)]
-        arrays += [pa.array([part] * n, pa.int32()), pa.array([side] * n, pa.string()), pa.array([text] * n, pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, [*kinds, "part", "side", "text"])
+    dealt = rows.select("doc_id", "text", F.inline(places(ranked))).repartition(n, F.col("part")).sortWithinPartitions("part", "guest", order, "text")
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, over = None, None, False
         for batch in batches:
             found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, own_part, guest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if own_part != at:
+                    last, at, over = None, own_part, False
+                if over:
+                    continue  # further guests of the same doc_id
                 text = text.as_py()
                 own = fingerprint(text)
-                if last is None:
-                    yield emit([(doc_id, None, None, to_string(own), None, None, None)], part, "first", text)
-                else:
+                if last is not None:
                     found.append(_compare(*last, text, own))
-                last = doc_id, text, own
-            yield emit(found, part)
-        if last is not None:
-            yield emit([(last[0], None, None, to_string(last[2]), None, None, None)], part, "last", last[1])
-
-    passed = stored(dealt.mapInArrow(within, schema))
-    edge = lambda side: passed.where(F.col("side") == side).select("part", "doc_id", "text", "fingerprint")
-    # The parts that have rows, each with the one after it; the last one's next is the first. Narrow: a row for a part.
-    parts = edge("first").select("part")
-    whole = Window.partitionBy(F.lit(0)).orderBy("part")
-    follow = parts.select("part", F.coalesce(F.lead("part").over(whole), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("next_part"))
-    firsts = edge("first").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    met = edge("last").join(follow, "part").join(firsts, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_print")
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda s: np.frombuffer(bytes.fromhex(s), "<u2").astype(np.uint16)
-        for batch in batches:
-            found = [_compare(r["doc_id"], r["text"], read(r["fingerprint"]), r["next_text"], read(r["next_print"])) for r in batch.to_pylist()]
-            yield emit(found, 0).select([*kinds])
+                last, over = (doc_id, text, own), guest == 1
+            columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds.values(), strict=True)], [*kinds])
 
-    return passed.where("side is null").select(*kinds).unionByName(met.mapInArrow(between, OUT))
+    return dealt.mapInArrow(each, OUT)
 
 
 def op6_fingerprint(spark, sf_dir: str) -> DataFrame:
