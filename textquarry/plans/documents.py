@@ -45,7 +45,7 @@ def f18_tokens(t: Tables):
     return t.documents.select("doc_id", T.tokens("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("h"))
 
 
-@C.add(r"SELECT doc_id, md5(lower(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '[\s,.;:!?''"<>\[\]]', '', 'g'))) AS k FROM documents")
+@C.add(r"""SELECT doc_id, md5(lower(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '[\s,.;:!?''"<>\[\]]', '', 'g'))) AS k FROM documents""")
 def f16_title_keys(t: Tables):
     return t.documents.select("doc_id", F.md5(T.title_key(F.regexp_extract("text", r"^([^\n]*)", 1)).cast("binary")).alias("k"))
 

@@ -10,24 +10,29 @@ def read_events(spark: SparkSession, folder: str, schema: StructType | str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets its watermark, which needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", key: str = "event_type") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, late)
     return w.groupBy(F.window("ts", width), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, late)
     return w.groupBy(F.window("ts", width, slide)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
     """A session ends when the gap is over; an equal gap still belongs to it."""
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, late)
     return w.groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def first_events(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _timed(events, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def upsert_batches(stream: DataFrame, merge) -> object:
