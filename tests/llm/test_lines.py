@@ -1,7 +1,7 @@
 """Line dedup against a pairwise brute force."""
 import random
 
-from textquarry.llm.lines import MIN_WORDS, dedup_lines, kept_lines
+from textquarry.llm.lines import MIN_WORDS, dedup_lines, dropped_lines
 
 
 def near(a, b):
@@ -42,7 +42,8 @@ def test_random_lines(spark):
             lines.append("  ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
         rows.append((k, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.line_no) for r in kept_lines(docs).select("doc_id", "line_no").collect()]
+    gone = {(r.doc_id, k) for r in dropped_lines(docs).collect() for k in r.gone}
+    got = [(k, i) for k, t in rows for i, x in enumerate(t.split("\n")) if len(x.split()) >= MIN_WORDS and (k, i) not in gone]
     assert sorted(got, key=str) == brute(rows)
     kept = set(got)
     for r in dedup_lines(docs).collect():

@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is compared by its words: lower case, split at white space. Two lines are near if one edit turns one into the other:
+A line is compared by its words: lower case, split at ASCII white space. Two lines are near if one edit turns one into the other:
 a word replaced, inserted or deleted. A line is dropped if an equal or near line stands earlier, by (doc_id, hash of the
 text, number of the line); lines below ``min_words`` words say too little to be called copies and always stay.
 
@@ -21,26 +21,40 @@ columns pass through, and ``n_chars`` follows the text where that column exists.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
 MIN_WORDS = 5
 BITS = 25
-_MASK = (1 << 46) - 1
-_BLOCK = 256
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
+    return F.split(F.lower(F.btrim(line, F.lit(" \t\r\x0b\f"))), r"\s+")
+
+
+def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, words, n, lh (hash of the words) of the lines that count."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "th", "line_no", _words(F.col("line")).alias("words"))
-    return words.withColumn("n", F.size("words")).where(F.col("n") >= min_words).withColumn("lh", F.xxhash64("words"))
+    """A narrow row for each line that counts: doc_id, th (hash of the text), line_no, n, lh (hash of the words), halves.
+
+    halves: hashes of the first and of the last half, for the line's own length and for one word less.
+    """
+    words = _exploded(docs, id_col, text_col).select("doc_id", "th", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+
+    def half(longer: int, last: bool) -> Column:
+        m = F.col("n") - longer
+        p = F.floor(m / 2).cast("int")
+        part = F.slice("words", F.col("n") - (m - p) + 1, m - p) if last else F.slice("words", F.lit(1), p)
+        return F.xxhash64(part, m, F.lit(last))
+
+    halves = F.array(*(half(x, y) for x in (0, 1) for y in (False, True)))
+    return words.where(F.col("n") >= min_words).select("doc_id", "th", "line_no", "n", F.xxhash64("words").alias("lh"), halves.alias("halves"))
 
 
 def _bit_table(of: DataFrame, name: str) -> DataFrame:
@@ -58,60 +72,36 @@ def _maybe_in(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
 
 
 def _halves(lines: DataFrame) -> DataFrame:
-    """Keys of the first and last halves, of the line's length and of one word less: (lh, key, side, longer)."""
-
-    def half(longer: bool, last: bool) -> Column:
-        m = F.col("n") - int(longer)
-        p = F.floor(m / 2).cast("int")
-        part = F.slice("words", F.col("n") - (m - p) + 1, m - p) if last else F.slice("words", F.lit(1), p)
-        return F.struct(F.xxhash64(part, m, F.lit(last)).alias("key"), F.lit(last).alias("last"), F.lit(longer).alias("longer"))
-
-    keys = F.array(*(half(x, y) for x in (False, True) for y in (False, True)))
-    return lines.select("lh", F.inline(keys))
-
-
-def _sums(words: Column, n: Column) -> Column:
-    """For each place i the sum, modulo 2**46, of hash(word j, j) - hash(word j, j - 1) over j < i."""
-    step = F.transform(words, lambda w, i: (F.xxhash64(w, i).bitwiseAND(F.lit(_MASK)) - F.xxhash64(w, i - 1).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MASK)))
-    add = lambda s, x: (s + x).bitwiseAND(F.lit(_MASK))
-    zero = F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(_BLOCK)), lambda b: F.slice("step", b + 1, F.lit(_BLOCK)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
-    running = lambda b, base: F.slice(F.aggregate(b, F.array(base), lambda s, x: F.concat(s, F.array(add(F.element_at(s, -1), x)))), 1, F.size(b))
-    return step, blocks, totals, running, zero, add
+    """(lh, key, last, longer): a row for each half."""
+    keys = lines.select("lh", F.posexplode("halves").alias("k", "key"))
+    return keys.select("lh", "key", (F.col("k") % 2 == 1).alias("last"), (F.col("k") >= 2).alias("longer"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
     """(key, kind, lh, at) of candidate lines; kind: r for a replaced word, d for a deleted one, w for the whole line.
 
-    lines: lh, at, words, n, and whether a half meets others: rep_first, rep_last, long_first, long_last, short.
+    lines: lh, at, words, n, and whether a half meets others: rep_first, rep_last, long_first, long_last, short. The words
+    become rows; a word's hash at its own place and at the one before are summed along the line, in two halves of 31 bits.
     """
-    n = F.col("n")
-    step, blocks, totals, running, zero, add = _sums(F.col("words"), n)
-    mask = F.lit(_MASK)
-    own = F.transform("words", lambda w, i: F.xxhash64(w, i).bitwiseAND(mask))
-    moved = F.transform("words", lambda w, i: F.xxhash64(w, i - 1).bitwiseAND(mask))
-    x = lines.withColumn("step", step).withColumn("blocks", blocks).withColumn("totals", totals)
-    bases = F.transform("blocks", lambda b, k: F.aggregate(F.slice("totals", F.lit(1), k), zero, add))
-    x = x.withColumn("bases", bases).withColumn("sums", F.flatten(F.zip_with("blocks", "bases", running))).drop("blocks", "totals", "bases", "step")
-    x = x.withColumn("moved", moved).withColumn("all_moved", F.aggregate("moved", zero, add)).withColumn("whole", F.aggregate(own, zero, add))
-    x = x.withColumn("cut", F.zip_with("sums", "moved", lambda s, m: (s - m + F.col("all_moved")).bitwiseAND(mask))).drop("sums", "moved", "all_moved", "words")
-    half = F.floor(n / 2).cast("int")
-    half_longer = F.floor((n - 1) / 2).cast("int")
-    each = x.select("lh", "at", "n", "whole", "short", "rep_first", "rep_last", "long_first", "long_last", half.alias("half"), half_longer.alias("half_longer"), F.posexplode("cut").alias("i", "v"))
+    part = lambda h, k: F.shiftrightunsigned(h, 33 * k).bitwiseAND(F.lit((1 << 31) - 1))
+    each = lines.select(*(c for c in lines.columns if c != "words"), F.posexplode("words").alias("i", "w"))
+    own, moved = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
+    for k in (0, 1):
+        each = each.withColumn(f"d{k}", part(own, k) - part(moved, k)).withColumn(f"m{k}", part(moved, k))
+    line = Window.partitionBy("lh")
+    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.drop("w")
+    for k in (0, 1):
+        each = each.withColumn(f"s{k}", F.coalesce(F.sum(f"d{k}").over(before), F.lit(0))).withColumn(f"t{k}", F.sum(f"m{k}").over(line)).withColumn(f"w{k}", F.sum(f"d{k}").over(line))
+    cut = [F.col(f"s{k}") - F.col(f"m{k}") + F.col(f"t{k}") for k in (0, 1)]
+    whole = [F.col(f"w{k}") + F.col(f"t{k}") for k in (0, 1)]
+    n, i = F.col("n"), F.col("i")
+    half, half_longer = F.floor(n / 2), F.floor((n - 1) / 2)
     # The same first half leaves edits behind it, the same last half edits before it.
-    replaced = (F.col("rep_first") & (F.col("i") >= F.col("half"))) | (F.col("rep_last") & (F.col("i") < F.col("half")))
-    deleted = (F.col("long_first") & (F.col("i") >= F.col("half_longer"))) | (F.col("long_last") & (F.col("i") <= F.col("half_longer")))
-    key = lambda *c: F.xxhash64(*c)
-    rows = F.filter(
-        F.array(
-            F.when(replaced, F.struct(key("v", "i", "n").alias("key"), F.lit("r").alias("kind"))),
-            F.when(deleted, F.struct(key("v", n - 1).alias("key"), F.lit("d").alias("kind"))),
-            F.when(F.col("short") & (F.col("i") == 0), F.struct(key("whole", "n").alias("key"), F.lit("w").alias("kind"))),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    return each.select("lh", "at", F.inline(rows))
+    replaced = (F.col("rep_first") & (i >= half)) | (F.col("rep_last") & (i < half))
+    deleted = (F.col("long_first") & (i >= half_longer)) | (F.col("long_last") & (i <= half_longer))
+    kinds = (("r", replaced, F.xxhash64(*cut, i, n)), ("d", deleted, F.xxhash64(*cut, n - 1)), ("w", F.col("short") & (i == 0), F.xxhash64(*whole, n)))
+    return reduce(DataFrame.unionByName, (each.where(p).select(key.alias("key"), F.lit(kind).alias("kind"), "lh", "at") for kind, p, key in kinds))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -126,17 +116,16 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(m == n, (first == 0) | (tail_short(1) == tail_long)).when(m == n + 1, tail_short(0) == tail_long).otherwise(False)
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, line_no): the lines that stay, of those with at least ``min_words`` words."""
-    lines = line_table(docs, id_col, text_col, min_words)
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, gone): for each text with lines of at least ``min_words`` words, the numbers of those that go, sorted."""
+    lines = stored(line_table(docs, id_col, text_col, min_words))
     at = F.struct("doc_id", "th", "line_no")
     firsts = stored(lines.select("lh", at.alias("at")).groupBy("lh").agg(F.min("at").alias("at")))
 
     keys = _halves(lines)
     plain = F.when(~F.col("longer"), F.col("lh"))
     met = keys.groupBy("key").agg(F.min(plain).alias("low"), F.max(plain).alias("high"), F.max("longer").alias("has_longer"))
-    met = met.select("key", (F.col("low") < F.col("high")).alias("rep"), (F.col("low").isNotNull() & F.col("has_longer")).alias("ins")).where("rep or ins")
-    met = stored(met)
+    met = stored(met.select("key", (F.col("low") < F.col("high")).alias("rep"), (F.col("low").isNotNull() & F.col("has_longer")).alias("ins")).where("rep or ins"))
     of = _maybe_in(keys, met, "key").distinct().join(met, "key")
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
     last, longer, rep, ins = (F.col(c) for c in ("last", "longer", "rep", "ins"))
@@ -144,12 +133,14 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flag(~longer & rep & ~last).alias("rep_first"), flag(~longer & rep & last).alias("rep_last"),
         flag(longer & ins & ~last).alias("long_first"), flag(longer & ins & last).alias("long_last"), flag(~longer & ins).alias("short"),
     )
-    flags = stored(flags.where("rep_first or rep_last or long_first or long_last or short").join(firsts, "lh"))
+    flags = flags.where("rep_first or rep_last or long_first or long_last or short").join(firsts, "lh")
+    flags = stored(flags.withColumn("place", F.xxhash64("at.th", "at.line_no")))
 
-    # The words of the candidates' first occurrences.
-    text = _maybe_in(lines, flags, "lh").select("lh", "doc_id", "th", "line_no", "words", "n")
-    same = (F.col("t.lh") == F.col("f.lh")) & F.col("t.doc_id").eqNullSafe(F.col("f.at.doc_id")) & (F.col("t.th") == F.col("f.at.th")) & (F.col("t.line_no") == F.col("f.at.line_no"))
-    candidates = stored(text.alias("t").join(flags.alias("f"), same).select("f.*", "t.words", "t.n").dropDuplicates(["lh"]))
+    # The words of the candidates' first occurrences; other lines are left out by their place, before they are cut into words.
+    text = _maybe_in(_exploded(docs, id_col, text_col).withColumn("place", F.xxhash64("th", "line_no")), flags, "place")
+    same = (F.col("t.place") == F.col("f.place")) & F.col("t.doc_id").eqNullSafe(F.col("f.at.doc_id")) & (F.col("t.th") == F.col("f.at.th")) & (F.col("t.line_no") == F.col("f.at.line_no"))
+    candidates = text.alias("t").join(flags.alias("f"), same).select("f.*", _words(F.col("t.line")).alias("words")).drop("place").dropDuplicates(["lh"])
+    candidates = stored(candidates.withColumn("n", F.size("words")))
 
     emitted = stored(variants(candidates))
     who = F.struct("at", "lh")
@@ -160,42 +151,40 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = candidates.select("lh", "words")
     pairs = pairs.join(words, "lh").join(words.select(F.col("lh").alias("of"), F.col("words").alias("of_words")), "of")
     near = pairs.where(one_edit(F.col("words"), F.col("of_words"))).select("lh").distinct()
-    return firsts.join(near, "lh", "left_anti").select("at.*")
-
+    kept = firsts.join(near, "lh", "left_anti").select("at.*", F.lit(True).alias("stays"))
 
-def _with_flags(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``docs`` with __flags: byte i is '1' where line i stays by ``kept_lines``, shorter than the lines if the last go."""
-    kept = kept_lines(docs, id_col, text_col, min_words)
-    k = F.array_sort(F.collect_list("line_no"))
-    kept = kept.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(k.alias("k"))
-    mark = F.transform("k", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("k", i - 1), F.lit(-1)) - 1), F.lit("1")))
-    kept = kept.select("__id", "__th", F.array_join(mark, "").cast("binary").alias("__flags"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left").drop("__id", "__th")
+    both = lines.select("doc_id", "th", "line_no", F.lit(False).alias("stays")).unionByName(kept)
+    stay = F.collect_set(F.when(F.col("stays"), F.col("line_no")))
+    return both.groupBy("doc_id", "th").agg(F.sort_array(F.array_except(F.collect_set("line_no"), stay)).alias("gone"))
 
 
-def _dropped(line: Column, i: Column, min_words: int) -> Column:
-    one = F.lit("1").cast("binary")
-    return (F.size(_words(line)) >= min_words) & ~F.coalesce(F.substring("__flags", i + 1, F.lit(1)) == one, F.lit(False))
+def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``docs`` with __gone."""
+    gone = dropped_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    met = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
+    return met.drop("__id", "__th", "__own")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that an equal or near line precedes."""
-    lines = F.split(text_col, "\n")
-    marked = _with_flags(docs, id_col, text_col, min_words)
-    text = F.array_join(F.filter(lines, lambda line, i: ~_dropped(line, i, min_words)), "\n")
-    out = marked.withColumn("__text", text)
+    marked = _joined(docs, id_col, text_col, min_words)
+    # Byte i of the mask is 0 where line i goes; the mask ends with the last such line.
+    step = F.transform("__gone", lambda x, i: F.concat(F.repeat(F.lit("1"), x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1), F.lit("0")))
+    marked = marked.withColumn("__mask", F.array_join(step, "").cast("binary"))
+    goes = lambda i: F.substring("__mask", i + 1, F.lit(1)) == F.lit("0").cast("binary")
+    text = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~goes(i)), "\n")
+    out = marked.withColumn("__text", F.when(F.size("__gone") > 0, text).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__text") == F.col(text_col), F.col("n_chars")).otherwise(F.length("__text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.size("__gone") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars")))
     return out.withColumn(text_col, F.col("__text")).select(docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, and the dropped lines' numbers from 0, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = kept_lines(docs)
-    counted = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.size(_words(x)) >= MIN_WORDS, i)), lambda i: i.isNotNull())
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(counted, F.array().cast("array<int>")).alias("counted"))
-    stay = kept.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list("line_no").alias("stay"))
-    met = own.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left")
-    gone = F.array_except("counted", F.coalesce("stay", F.array().cast("array<int>")))
-    return met.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped_lines"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), lines.alias("n_lines"))
+    gone = dropped_lines(docs).withColumnRenamed("doc_id", "id")
+    met = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left")
+    found = F.coalesce("gone", F.array().cast("array<int>"))
+    return met.select("doc_id", "n_lines", F.size(found).cast("long").alias("n_dropped"), F.array_join(found.cast("array<string>"), ",").alias("dropped_lines"))
