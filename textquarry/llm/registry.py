@@ -9,6 +9,7 @@ from .fingerprint import op6_fingerprint
 from .html_text import op10_html_text
 from .language import op2_language
 from .lines import op8_line_dedup
+from .oracles import OP1
 from .packing import op5_packing
 from .secrets import op3_secret_scan
 from .simhash import op9_simhash
@@ -16,4 +17,4 @@ from .token_files import op7_token_files
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_secret_scan, op4_chat_format, op5_packing, op6_fingerprint, op7_token_files, op8_line_dedup, op9_simhash, op10_html_text)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_decontamination": OP1}
