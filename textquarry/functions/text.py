@@ -59,9 +59,8 @@ def title_key(c, kind: str = "retrieval") -> Column:
     """Comparison keys of titles. kind: compact, cover, retrieval, amended, viewer or url; each is a different key."""
     x = col(c)
     no_space = lambda v: F.regexp_replace(v, r"(?U)\s+", "")
-    brackets = r"[《》〈〉<>]"
     if kind == "compact":
-        return no_space(F.regexp_replace(x, brackets, ""))
+        return F.regexp_replace(F.regexp_replace(x, r"(?U)[\s《》()（）\[\]【】_-]", ""), "(?:附件|修订稿|草案)$", "")
     if kind == "cover":
         return F.regexp_replace(no_space(x), r"[《》〈〉<>“”\"'（）()]", "")
     if kind == "amended":
@@ -188,8 +187,11 @@ def duration(ms) -> Column:
 
 
 def validity_class(c) -> Column:
+    """Buckets of a validity remark; the labels are fixed values."""
     x = F.trim(F.coalesce(col(c), F.lit("")))
-    return F.when(x == "", "未标注").when(x.startswith("现行"), "现行有效").when(x.startswith("已"), "已失效").otherwise("其他")
+    pending = F.contains(x, F.lit("已公布")) & F.contains(x, F.lit("尚未施行"))
+    out = F.when(x.startswith("现行使用"), "现行使用（官网仍列示）").when(pending, "已公布、尚未施行").when(x.startswith("现行有效"), "现行有效")
+    return out.when(x == "", "状态未载").otherwise(x)
 
 
 def article_label(start, end) -> Column:
