@@ -235,7 +235,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAG
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
+        # Evaluated for rows without a hit as well, null texts among them.
+        return pd.Series([cut_words(t, [(x["start"], x["end"]) for x in s]) if t and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     found = find_contamination(docs, benchmark, window=window, out_col="__found")
     hit = F.size("__found.spans") > 0
