@@ -149,3 +149,18 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_front_matter(spark):
+    from textquarry.operators import front_matter as M
+
+    lines = ["某监督管理委员会令", "〔2020〕第12号", "现予公布《试行管理办法》，自公布之日起施行。", "2020年5月1日", "试行管理办法", "（2020年5月1日发布）", "第一条 内容。", "第二条 试行管理办法", "来源", "https://x.example/a"]
+    blocks = spark.createDataFrame([(1, k, t, "试行管理办法") for k, t in enumerate(lines)], "doc_id long, block_seq int, text string, document_title string")
+    kept, removed = M.clean(blocks)
+    rules = {r.block_seq: r.rule_id for r in removed.collect()}
+    assert rules == {0: "split_front_document_number", 1: "split_front_document_number", 2: "publication_wrapper", 3: "publication_signature_date", 5: "front_promulgation_parenthetical", 9: "trailing_source_reference"}
+    assert M.clean(kept)[1].count() == 0
+    toc = ["第一章 总则", "第二章 附则", "第一章 总则", "第一条 甲", "第二章 附则", "第二条 乙"]
+    left = M.without_repeated_contents(spark.createDataFrame([(1, k, t) for k, t in enumerate(toc)], "doc_id long, block_seq int, text string"))
+    assert sorted(r.block_seq for r in left.collect()) == [2, 3, 4, 5]
+    assert one(spark, M.readable_symbols(F.lit(chr(0xF0E5) + "a" + chr(0xE004) + chr(0xF8FE)))) == "∑a[未映射公式符号U+F8FE]"

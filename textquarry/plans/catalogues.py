@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import metadata as M
 from textquarry.functions import text as T
-from textquarry.operators import catalog, evaluation, structure
+from textquarry.operators import catalog, evaluation, front_matter, structure
 from textquarry.sources import sinks
 
 from .base import Catalogue, Tables
@@ -145,3 +145,31 @@ def a9_block_coverage(t: Tables):
     chunks = structure.chunk_documents(t.documents)
     blocks = structure.blocks_of(t.documents).where(F.trim("text") != "")
     return catalog.coverage(blocks, chunks)
+
+
+@C.add()
+def d16_front_matter(t: Tables):
+    """What the front-matter rules remove; a document's first line stands for its title."""
+    blocks = structure.blocks_of(t.documents).join(t.documents.select("doc_id", T.latin_lead("text").alias("document_title")), "doc_id")
+    return front_matter.judge(blocks).where("rule_id <> ''").select("doc_id", F.col("block_seq").cast("long").alias("block_seq"), "rule_id")
+
+
+@C.add()
+def d17_repeated_contents(t: Tables):
+    return front_matter.without_repeated_contents(structure.blocks_of(t.documents)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@C.add("SELECT doc_id, source AS symbol FROM documents")
+def f3_symbols(t: Tables):
+    """Known private-use characters around a name are read or left out."""
+    return t.documents.select("doc_id", front_matter.readable_symbols(F.concat(F.lit(chr(0xE004)), "source", F.lit(chr(0xF0E7)))).alias("symbol"))
+
+
+@C.add("WITH c AS (SELECT doc_id, md5(text) AS hash, 'v1' AS version FROM documents WHERE doc_id % 3 <> 0), s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE md5(text) END AS hash, 'v1' AS version FROM documents WHERE doc_id % 4 <> 0) SELECT doc_id, hash, version FROM c")
+def x10_rebuild(t: Tables):
+    """A rebuild from a partial, partly outdated state equals a full build."""
+    from textquarry.operators import incremental
+
+    rows = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.lit("v1").alias("version"))
+    state = rows.where("doc_id % 4 <> 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("hash")))
+    return incremental.rebuild(rows.where("doc_id % 3 <> 0"), state, lambda x: x, "doc_id")
