@@ -1,0 +1,18 @@
+"""Stages of the pipeline on small made-up rows."""
+import random
+
+import corpus_pipeline as P
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_near_dedup_rows_without_usable_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (9, e), (9, e), (None, e), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (3, d), (9, e), (4, "")], key=str)
+    assert P.near_dedup(spark, docs.limit(0), "").count() == 0
