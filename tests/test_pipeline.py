@@ -2,6 +2,7 @@
 import random
 
 import corpus_pipeline as P
+from textquarry.llm import near as N
 
 
 def words(rng, n):
@@ -16,3 +17,36 @@ def test_near_dedup_rows_without_usable_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect()), key=str)
     assert got == sorted([(None, a), (None, b), (7, c), (3, d), (9, e), (4, "")], key=str)
     assert P.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_dedup_finds_similarity_of_four_fifths(spark):
+    rng = random.Random(6)
+    rows, same = [], 0
+    for k in range(150):
+        a = words(rng, rng.randint(60, 400))
+        b = list(a)
+        for _ in range(max(1, len(a) // 70)):
+            b[rng.randrange(len(b))] = "changed"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    sets = {i: N.shingles(t) for i, t in rows}
+    near = {2 * k for k in range(150) if N.jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.8}
+    assert 100 < len(near)
+    left = {r.doc_id for r in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    gone = {i for i, _ in rows} - left
+    assert gone <= {i + 1 for i in near} and len(gone) >= 0.98 * len(near)
+
+
+def test_near_groups_of_one_large_bucket(spark):
+    """Texts that share most shingles but differ in some: more than LEADERS of them, in several groups."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = words(rng, 300)
+        for _ in range(25):
+            w = list(base)
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, "Short text"), (101, "short  TEXT"), (102, "short texts")]
+    got = {r.id: r.component_id for r in N.near_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert len(got) == 78 and len(set(got.values())) == 5
+    assert all(len({got[25 * g + k] for k in range(25)}) == 1 for g in range(3)) and got[100] == got[101] != got[102]
