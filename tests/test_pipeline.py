@@ -3,6 +3,7 @@ import random
 
 import corpus_pipeline as P
 from textquarry.llm import near as N
+from textquarry.llm.lines import op8_line_dedup
 
 
 def words(rng, n):
@@ -50,3 +51,17 @@ def test_near_groups_of_one_large_bucket(spark):
     got = {r.id: r.component_id for r in N.near_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
     assert len(got) == 78 and len(set(got.values())) == 5
     assert all(len({got[25 * g + k] for k in range(25)}) == 1 for g in range(3)) and got[100] == got[101] != got[102]
+
+
+def test_line_dedup_short_and_unspaced_lines(spark, tmp_path):
+    thai, han = "สวัสดีครับยินดีต้อนรับ", "本办法自公布之日起施行由国务院负责解释"
+    rows = [
+        (1, f"Share this\n\nnext page\n{han}\n{thai}\n第一章总则"),
+        (2, f"share  THIS\n\nshare that\n{han[:8]}后{han[9:]}\n{thai}\n第二章总则\n第一章总则"),
+        (3, "  \nnext page\nhttps://a.example/page/1\nhttps://a.example/page/2\nhttps://a.example/page/1"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.dropped_lines) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (6, ""), 2: (7, "0,3,4,6"), 3: (5, "1,4")}
+    assert {r.text for r in P.line_dedup(spark, docs, "").where("doc_id = 2").collect()} == {"\nshare that\n第二章总则"}

@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is compared by its words: lower case, split at ASCII white space. Two lines are near if one edit turns one into the other:
-a word replaced, inserted or deleted. A line is dropped if an equal or near line stands earlier, by (doc_id, hash of the
-text, number of the line); lines below ``min_words`` words say too little to be called copies and always stay.
+A line is compared by its words: lower case, split at ASCII white space, and each character of a script that writes no spaces
+between words (``UNSPACED``) is a word of its own. Two lines are near if one edit turns one into the other: a word replaced,
+inserted or deleted. A line is dropped if an equal or near line stands earlier, by (doc_id, hash of the text, number of the
+line). Lines below ``min_words`` words (a character of ``UNSPACED`` counts as half a word) say too little to be called near;
+with ``repeats``, as in op8 and the pipeline, their exact repeats go like those of all lines that aren't blank, else they stay.
 
 Near lines are found through the variants with one word deleted. Equal lines are one first. A variant's key is made from a
 sum of position-keyed word hashes, so all variants of a line cost a time in proportion to its words. Replacements share
@@ -30,22 +32,31 @@ from .common import stored, table
 
 MIN_WORDS = 5
 BITS = 25
+# Han, kana, Thai, Lao, Khmer and Burmese as ranges, behind one that most characters fail.
+UNSPACED = r"[\x{0E00}-\x{3FFFF}&&[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]]"
+
+
+def _spaced(line: Column) -> Column:
+    """Two more characters for each of ``UNSPACED``."""
+    return F.when(F.octet_length(line) == F.length(line), line).otherwise(F.regexp_replace(line, f"({UNSPACED})", " $1 "))
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(line, F.lit(" \t\r\x0b\f"))), r"\s+")
+    return F.split(F.lower(F.btrim(_spaced(line), F.lit(" \t\r\x0b\f"))), r"\s+")
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """A narrow row for each line that counts: doc_id, th (hash of the text), line_no, n, lh (hash of the words), halves.
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, repeats: bool = False) -> DataFrame:
+    """A narrow row for each line that counts: doc_id, th (hash of the text), line_no, n, lh (hash of the words), halves, enough.
 
-    halves: hashes of the first and of the last half, for the line's own length and for one word less.
+    halves: hashes of the first and of the last half, for the line's own length and for one word less. enough: of ``min_words``.
     """
-    words = _exploded(docs, id_col, text_col).select("doc_id", "th", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    words = _exploded(docs, id_col, text_col).select("doc_id", "th", "line_no", "line", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    enough = F.col("n") - (F.length(_spaced(F.col("line"))) - F.length("line")) / 4 >= min_words
+    counts = (F.btrim("line", F.lit(" \t\r\x0b\f")) != "") if repeats else enough
 
     def half(longer: int, last: bool) -> Column:
         m = F.col("n") - longer
@@ -54,7 +65,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
         return F.xxhash64(part, m, F.lit(last))
 
     halves = F.array(*(half(x, y) for x in (0, 1) for y in (False, True)))
-    return words.where(F.col("n") >= min_words).select("doc_id", "th", "line_no", "n", F.xxhash64("words").alias("lh"), halves.alias("halves"))
+    return words.where(counts).select("doc_id", "th", "line_no", "n", F.xxhash64("words").alias("lh"), halves.alias("halves"), enough.alias("enough"))
 
 
 def _bit_table(of: DataFrame, name: str) -> DataFrame:
@@ -116,13 +127,13 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(m == n, (first == 0) | (tail_short(1) == tail_long)).when(m == n + 1, tail_short(0) == tail_long).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, gone): for each text with lines of at least ``min_words`` words, the numbers of those that go, sorted."""
-    lines = stored(line_table(docs, id_col, text_col, min_words))
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, repeats: bool = False) -> DataFrame:
+    """(doc_id, th, gone): for each text with lines that count, the numbers of those that go, sorted."""
+    lines = stored(line_table(docs, id_col, text_col, min_words, repeats))
     at = F.struct("doc_id", "th", "line_no")
     firsts = stored(lines.select("lh", at.alias("at")).groupBy("lh").agg(F.min("at").alias("at")))
 
-    keys = _halves(lines)
+    keys = _halves(lines.where("enough"))
     plain = F.when(~F.col("longer"), F.col("lh"))
     met = keys.groupBy("key").agg(F.min(plain).alias("low"), F.max(plain).alias("high"), F.max("longer").alias("has_longer"))
     met = stored(met.select("key", (F.col("low") < F.col("high")).alias("rep"), (F.col("low").isNotNull() & F.col("has_longer")).alias("ins")).where("rep or ins"))
@@ -158,16 +169,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return both.groupBy("doc_id", "th").agg(F.sort_array(F.array_except(F.collect_set("line_no"), stay)).alias("gone"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int, repeats: bool) -> DataFrame:
     """``docs`` with __gone."""
-    gone = dropped_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = dropped_lines(docs, id_col, text_col, min_words, repeats).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     met = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
     return met.drop("__id", "__th", "__own")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, repeats: bool = False) -> DataFrame:
     """``docs`` without the lines that an equal or near line precedes."""
-    marked = _joined(docs, id_col, text_col, min_words)
+    marked = _joined(docs, id_col, text_col, min_words, repeats)
     # Byte i of the mask is 0 where line i goes; the mask ends with the last such line.
     step = F.transform("__gone", lambda x, i: F.concat(F.repeat(F.lit("1"), x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1), F.lit("0")))
     marked = marked.withColumn("__mask", F.array_join(step, "").cast("binary"))
@@ -184,7 +195,7 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), lines.alias("n_lines"))
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "id")
+    gone = dropped_lines(docs, repeats=True).withColumnRenamed("doc_id", "id")
     met = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left")
     found = F.coalesce("gone", F.array().cast("array<int>"))
     return met.select("doc_id", "n_lines", F.size(found).cast("long").alias("n_dropped"), F.array_join(found.cast("array<string>"), ",").alias("dropped_lines"))
