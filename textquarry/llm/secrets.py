@@ -2,7 +2,9 @@
 
 A candidate is a run of at least ``window`` characters out of ``[A-Za-z0-9+/_=-]``. A window of fixed length slides over
 it; the counts of its characters change by one out and one in a step, so the Shannon entropy costs O(1) a step. The
-threshold depends on the narrowest character class that holds the whole candidate. Windows that pass are merged.
+threshold depends on the narrowest character class that holds the whole candidate. Its parts between delimiters are judged
+once more by classes of their own, so a key before a secret doesn't raise its threshold. What the fixed patterns hold is
+left out of a candidate beforehand; the rest is judged. Windows that pass are merged.
 
 Defined results: null text counts as empty; a text without findings has an empty array; equal texts give equal spans;
 other columns pass through, one of the result's own name is replaced. No text is cut, so memory is that of one batch.
@@ -44,6 +46,8 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"(?:[A-Za-z]{2,}[-_/]|[0-9]{1,4}[-_/])*(?:[A-Za-z]{2,}|[0-9]{1,4})"),  # slugs and paths
 )
+#: What parts a candidate.
+PART = re.compile(r"[A-Za-z0-9]+")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -82,20 +86,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What ``spans``, in order of their starts, leave of a range."""
+    for s, e in spans:
+        if e > start and s < end:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [tuple(x) for x in out]
+
+
 def scan(text: str | None, window: int = WINDOW, allow: tuple[re.Pattern, ...] = ALLOW) -> list[dict]:
     """All spans of a text, by start and kind; entropy spans keep clear of the patterns' spans."""
     if not text:
         return []
     found = base_spans(text)
     base = [(s, e) for s, _, e in found]
+    own = lambda run: next(b for _, c, b in CLASSES if c.fullmatch(run))
     candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{window},}}")
     for m in candidate.finditer(text):
         if any(a.fullmatch(m[0]) for a in allow):
             continue
-        bits = next(b for _, c, b in CLASSES if c.fullmatch(m[0]))
-        for s, e in windows(text, m.start(), m.end(), bits, window):
-            if not any(s < y and x < e for x, y in base):
-                found.append((s, 3, e))
+        bits, hits = own(m[0]), []
+        for start, end in outside(m.start(), m.end(), base):
+            hits += windows(text, start, end, bits, window)
+            for part in PART.finditer(text, start, end):
+                if part.end() - part.start() >= window and not any(a.fullmatch(part[0]) for a in allow):
+                    hits += windows(text, part.start(), part.end(), own(part[0]), window)
+        found += [(s, 3, e) for s, e in merged(hits)]
     return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(found)]
 
 
