@@ -194,7 +194,8 @@ def q_review_status(t: Tables):
 @C.add("SELECT b.item_id AS answer_id, b.item_id AS evidence_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_id' WHEN contains(d.text, left(b.text, 60)) THEN 'exact' ELSE 'other' END AS status FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 20")
 def c1_citation_check(t: Tables):
     basis = t.benchmark.select(F.col("item_id").alias("answer_id"), F.col("item_id").alias("evidence_id"), F.left("text", F.lit(60)).alias("quote"))
-    hits = t.documents.where("doc_id % 20 = 0").select((F.col("doc_id") / 20).cast("long").alias("evidence_id"), "text")
+    wanted = t.benchmark.select(F.col("item_id").alias("evidence_id"), (F.col("item_id") * 20).alias("doc_id")).distinct()
+    hits = t.documents.join(wanted, "doc_id").select("evidence_id", "text")
     found = citation.validate_citations(basis, hits)
     return found.select("answer_id", "evidence_id", F.when(F.col("status").isin("exact", "unknown_id"), F.col("status")).otherwise("other").alias("status"))
 
