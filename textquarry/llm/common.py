@@ -21,9 +21,13 @@ def _local_root() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (tests, local mode) a local folder takes its place.
+    Only in local mode, where both are one process, a local folder takes the place of a missing setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -35,6 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spans_string(spans: Column) -> Column:
     """``kind:start:end`` of an array of structs, comma-joined."""
     return F.array_join(

@@ -1,37 +1,42 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is compared by its words: lower case, split at ASCII white space, and each character of a script that writes no spaces
-between words (``UNSPACED``) is a word of its own. Two lines are near if one edit turns one into the other: a word replaced,
-inserted or deleted. A line is dropped if an equal or near line stands earlier, by (doc_id, hash of the text, number of the
-line). Lines below ``min_words`` words (a character of ``UNSPACED`` counts as half a word) say too little to be called near;
-with ``repeats``, as in op8 and the pipeline, their exact repeats go like those of all lines that aren't blank, else they stay.
-
-Near lines are found through the variants with one word deleted. Equal lines are one first. A variant's key is made from a
-sum of position-keyed word hashes, so all variants of a line cost a time in proportion to its words. Replacements share
-the variant and the place of the deleted word, so all lines of such a group are near each other; an insertion shares
-the shorter line whole with a variant of the longer one. Each group therefore gives its earliest line by a plain
-aggregation, and nothing is paired within it. The pair of a line and its earliest partner is then verified on the words.
-
-Variants are emitted only where they can meet: of two near lines either the first or the last half of the shorter is the
-same in both, so halves are keyed and counted first (a pigeonhole filter that loses nothing), and only the other half's
-words are deleted. Rows are kept off the shuffles by bit tables of at most 2**BITS bits, broadcast at that fixed bound;
-they let some rows too many through, never too few, however large the input.
+between words (``UNSPACED``) is a word of its own. The edit distance counts words replaced, inserted or deleted; the bound
+``edits`` is 0 (equal lines only) or 1. Beyond 1 the lines of a variant are no longer near to each other, and a group
+couldn't be settled without pairing its members, so a larger bound is refused.
+
+Lines are taken in the order of (doc_id, hash of the text, number of the line). A line goes if an equal line stands earlier,
+or if a line that itself stays is near it and stands earlier; a blank line always stays. Lines below ``min_words`` words (a
+character of ``UNSPACED`` counts as half a word) say too little to be called near: of them, only equal ones go.
+
+Equal lines are one first, by 128 bits of hash. Near lines are found through the variants with one word deleted, whose keys
+come from an exclusive or of position-keyed word hashes, so that all variants of a line cost a time in proportion to its
+words. Lines that share the variant and the place of the deleted word are all near each other; a line that is itself the
+variant of another one is near it. Each member of such a group is verified on the words, against one witness of the group.
+
+Variants are emitted only where they can meet: two near lines share the first or the last q words, q being half the shorter
+one's length, so these parts are counted first (a pigeonhole filter that loses nothing), and only words outside a shared
+part are deleted. Bit tables of 2**BITS bits keep other rows off the shuffles; they let some rows too many through, never
+too few, and are left out where so many keys are wanted that they would let nearly all through.
+
+Which near lines stay is settled in rounds: a line that no undecided earlier line is near to stays, and those near it go.
+A round is a few aggregations by group; most lines are settled in the first, and a chain of near lines takes as many as it
+has links that depend on each other.
 
 Defined results: null text stays null and has no lines; a null doc_id sorts before all others; rows equal in doc_id and
 text keep the same lines; a text whose lines all go becomes empty, its row stays; an empty table gives an empty one; other
-columns pass through, and ``n_chars`` follows the text where that column exists.
+columns pass through, whatever their names, and ``n_chars`` follows the text where that column exists.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 
-MIN_WORDS = 5
+MIN_WORDS, EDITS = 5, 1
 BITS = 25
+_SPACE = " \t\r\x0b\f"
 # Han, kana, Thai, Lao, Khmer and Burmese as ranges, behind one that most characters fail.
 UNSPACED = r"[\x{0E00}-\x{3FFFF}&&[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]]"
 
@@ -41,161 +46,190 @@ def _spaced(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.length(line), line).otherwise(F.regexp_replace(line, f"({UNSPACED})", " $1 "))
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(_spaced(line), F.lit(" \t\r\x0b\f"))), r"\s+")
+def _plain(line: Column) -> Column:
+    """The line's words in lower case with one space between them; empty for a blank line."""
+    low = F.lower(F.btrim(line, F.lit(_SPACE)))
+    odd = low.contains("  ")
+    for c in _SPACE[1:]:
+        odd = odd | low.contains(c)
+    return F.when(odd, F.regexp_replace(low, r"[ \t\r\x0B\f]+", " ")).otherwise(low)
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, repeats: bool = False) -> DataFrame:
-    """A narrow row for each line that counts: doc_id, th (hash of the text), line_no, n, lh (hash of the words), halves, enough.
+def _line(rows: DataFrame, *others: str) -> DataFrame:
+    """x: the words of a line that isn't blank; lh, lh2: its hashes."""
+    rows = rows.select(*others, "line", _spaced(F.col("line")).alias("spaced"))
+    rows = rows.select(*others, (F.length("spaced") - F.length("line")).alias("more"), _plain(F.col("spaced")).alias("x")).where("x != ''")
+    return rows.select("*", F.xxhash64("x").alias("lh"), F.xxhash64("x", F.lit(1)).alias("lh2"))
 
-    halves: hashes of the first and of the last half, for the line's own length and for one word less. enough: of ``min_words``.
-    """
-    words = _exploded(docs, id_col, text_col).select("doc_id", "th", "line_no", "line", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    enough = F.col("n") - (F.length(_spaced(F.col("line"))) - F.length("line")) / 4 >= min_words
-    counts = (F.btrim("line", F.lit(" \t\r\x0b\f")) != "") if repeats else enough
 
-    def half(longer: int, last: bool) -> Column:
-        m = F.col("n") - longer
-        p = F.floor(m / 2).cast("int")
-        part = F.slice("words", F.col("n") - (m - p) + 1, m - p) if last else F.slice("words", F.lit(1), p)
-        return F.xxhash64(part, m, F.lit(last))
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each distinct line: lh, lh2, at (its first place), n, and the hashes of its first and last words.
 
-    halves = F.array(*(half(x, y) for x in (0, 1) for y in (False, True)))
-    return words.where(counts).select("doc_id", "th", "line_no", "n", F.xxhash64("words").alias("lh"), halves.alias("halves"), enough.alias("enough"))
+    first, last: of half the words; first_less, last_less: of one word less, where that is half of a line shorter by one.
+    All four are null below ``min_words``.
+    """
+    rows = _line(_exploded(docs, id_col, text_col), "doc_id", "th", "line_no")
+    rows = rows.withColumn("n", F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
+    enough = F.col("n") - F.col("more") / 4 >= min_words
+    q = F.floor(F.col("n") / 2).cast("int")
+
+    def part(words: Column, where: Column) -> Column:
+        return F.when(enough & where, F.xxhash64(F.call_function("substring_index", F.col("x"), F.lit(" "), words)))
+
+    always, even = F.lit(True), F.col("n") % 2 == 0
+    rows = rows.select(
+        "lh", "lh2", F.struct("doc_id", "th", "line_no").alias("at"), "n",
+        part(q, always).alias("first"), part(-q, always).alias("last"), part(q - 1, even).alias("first_less"), part(1 - q, even).alias("last_less"),
+    )
+    return rows.groupBy("lh", "lh2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in rows.columns[3:]))
 
 
-def _bit_table(of: DataFrame, name: str) -> DataFrame:
-    """The bits of a column's hashes, 64 to a row: at most 2**(BITS - 6) rows."""
+def _slot_and_bit(name: str) -> tuple[Column, Column]:
     bit = F.pmod(F.col(name), F.lit(1 << BITS))
-    return of.select(F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits"))
+    return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
 
 
 def _maybe_in(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
-    """``rows`` whose hash may occur in ``of``; none that does is lost."""
-    bit = F.pmod(F.col(name), F.lit(1 << BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    bits = F.broadcast(_bit_table(of, name))
-    return rows.join(bits, (F.shiftright(bit, 6) == F.col("slot")) & (F.col("bits").bitwiseAND(one) != 0), "left_semi")
-
-
-def _halves(lines: DataFrame) -> DataFrame:
-    """(lh, key, last, longer): a row for each half."""
-    keys = lines.select("lh", F.posexplode("halves").alias("k", "key"))
-    return keys.select("lh", "key", (F.col("k") % 2 == 1).alias("last"), (F.col("k") >= 2).alias("longer"))
+    """``rows`` whose hash may occur in the stored table ``of``; none that does is lost."""
+    if of.count() > 1 << (BITS - 1):
+        return rows  # the table would be half full and more
+    slot, one = _slot_and_bit(name)
+    bits = of.select(slot.alias("slot"), one.alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits"))  # at most 2**(BITS - 6) rows
+    return rows.join(F.broadcast(bits), (slot == F.col("slot")) & (F.col("bits").bitwiseAND(one) != 0), "left_semi")
+
+
+def _parts(lines: DataFrame) -> DataFrame:
+    """(lh, lh2, at, n, key, last, q): a row for each shared-part key of a line."""
+    q = F.floor(F.col("n") / 2).cast("int")
+    kinds = F.array(*(F.struct(F.xxhash64(c, F.lit(c.startswith("last"))).alias("key"), F.col(c).alias("h"), F.lit(c.startswith("last")).alias("last"), (q - less).alias("q")) for c, less in (("first", 0), ("last", 0), ("first_less", 1), ("last_less", 1))))
+    return lines.where("first is not null").select("lh", "lh2", "at", "n", F.explode(kinds).alias("k")).where("k.h is not null").select("lh", "lh2", "at", "n", "k.key", "k.last", "k.q")
+
+
+def _candidates(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines that share a part with another: id, lh, lh2, at, n, first_q, last_q (words of the shared parts) and the words."""
+    keys = _parts(lines)
+    met = stored(keys.groupBy("key").count().where("count > 1").select("key"))
+    of = _maybe_in(keys, met, "key").join(met, "key", "left_semi")
+    flags = of.groupBy("lh", "lh2").agg(F.first("at").alias("at"), F.first("n").alias("n"), F.min(F.when(~F.col("last"), F.col("q"))).alias("first_q"), F.min(F.when(F.col("last"), F.col("q"))).alias("last_q"))
+    flags = stored(flags.withColumn("place", F.xxhash64("at.doc_id", "at.th", "at.line_no")))
+    # The words of their first occurrences; other lines are left out by their place, before they are cut into words.
+    text = _maybe_in(_exploded(docs, id_col, text_col).select(F.xxhash64("doc_id", "th", "line_no").alias("place"), "line"), flags, "place")
+    text = _line(text, "place").select("place", "lh", "lh2", F.split("x", " ").alias("words"))
+    met = text.join(flags, ["place", "lh", "lh2"]).dropDuplicates(["lh", "lh2"]).drop("place")
+    return stored(met.withColumn("id", F.monotonically_increasing_id()))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, kind, lh, at) of candidate lines; kind: r for a replaced word, d for a deleted one, w for the whole line.
-
-    lines: lh, at, words, n, and whether a half meets others: rep_first, rep_last, long_first, long_last, short. The words
-    become rows; a word's hash at its own place and at the one before are summed along the line, in two halves of 31 bits.
-    """
-    part = lambda h, k: F.shiftrightunsigned(h, 33 * k).bitwiseAND(F.lit((1 << 31) - 1))
-    each = lines.select(*(c for c in lines.columns if c != "words"), F.posexplode("words").alias("i", "w"))
-    own, moved = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
-    for k in (0, 1):
-        each = each.withColumn(f"d{k}", part(own, k) - part(moved, k)).withColumn(f"m{k}", part(moved, k))
-    line = Window.partitionBy("lh")
-    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.drop("w")
-    for k in (0, 1):
-        each = each.withColumn(f"s{k}", F.coalesce(F.sum(f"d{k}").over(before), F.lit(0))).withColumn(f"t{k}", F.sum(f"m{k}").over(line)).withColumn(f"w{k}", F.sum(f"d{k}").over(line))
-    cut = [F.col(f"s{k}") - F.col(f"m{k}") + F.col(f"t{k}") for k in (0, 1)]
-    whole = [F.col(f"w{k}") + F.col(f"t{k}") for k in (0, 1)]
+    """(key, i, id): a line's words without the word at i, for i = -1 all of them, as a hash with their number."""
+    each = lines.select("id", "n", "first_q", "last_q", F.posexplode("words").alias("i", "w"))
+    each = each.select("id", "n", "first_q", "last_q", "i", F.xxhash64("w", "i").alias("own"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("id").orderBy("i")
+    own = F.coalesce(F.bit_xor("own").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    each = each.withColumns({"before": own, "upto": moved})
+    whole = lines.select(F.col("id").alias("of"), F.aggregate("words", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("moved")),
+        lambda s, w: F.struct((s["i"] + 1).alias("i"), s["own"].bitwiseXOR(F.xxhash64(w, s["i"])).alias("own"), s["moved"].bitwiseXOR(F.xxhash64(w, s["i"] - 1)).alias("moved"))).alias("all"), "n")
     n, i = F.col("n"), F.col("i")
-    half, half_longer = F.floor(n / 2), F.floor((n - 1) / 2)
-    # The same first half leaves edits behind it, the same last half edits before it.
-    replaced = (F.col("rep_first") & (i >= half)) | (F.col("rep_last") & (i < half))
-    deleted = (F.col("long_first") & (i >= half_longer)) | (F.col("long_last") & (i <= half_longer))
-    kinds = (("r", replaced, F.xxhash64(*cut, i, n)), ("d", deleted, F.xxhash64(*cut, n - 1)), ("w", F.col("short") & (i == 0), F.xxhash64(*whole, n)))
-    return reduce(DataFrame.unionByName, (each.where(p).select(key.alias("key"), F.lit(kind).alias("kind"), "lh", "at") for kind, p, key in kinds))
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    """Whether one word replaced, inserted or deleted (or none) turns the words a into b."""
-    short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    n, m = F.size(short), F.size(long)
-    differs = F.zip_with(short, F.slice(long, F.lit(1), n), lambda x, y: x != y)
-    first = F.array_position(differs, F.lit(True)).cast("int")  # from 1; 0: none
-    c = F.when(first == 0, n).otherwise(first - 1)
-    tail_short = lambda skip: F.slice(short, c + 1 + skip, F.greatest(n - c - skip, F.lit(0)))
-    tail_long = F.slice(long, c + 2, F.greatest(m - c - 1, F.lit(0)))
-    return F.when(m == n, (first == 0) | (tail_short(1) == tail_long)).when(m == n + 1, tail_short(0) == tail_long).otherwise(False)
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, repeats: bool = False) -> DataFrame:
-    """(doc_id, th, gone): for each text with lines that count, the numbers of those that go, sorted."""
-    lines = stored(line_table(docs, id_col, text_col, min_words, repeats))
-    at = F.struct("doc_id", "th", "line_no")
-    firsts = stored(lines.select("lh", at.alias("at")).groupBy("lh").agg(F.min("at").alias("at")))
-
-    keys = _halves(lines.where("enough"))
-    plain = F.when(~F.col("longer"), F.col("lh"))
-    met = keys.groupBy("key").agg(F.min(plain).alias("low"), F.max(plain).alias("high"), F.max("longer").alias("has_longer"))
-    met = stored(met.select("key", (F.col("low") < F.col("high")).alias("rep"), (F.col("low").isNotNull() & F.col("has_longer")).alias("ins")).where("rep or ins"))
-    of = _maybe_in(keys, met, "key").distinct().join(met, "key")
-    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    last, longer, rep, ins = (F.col(c) for c in ("last", "longer", "rep", "ins"))
-    flags = of.groupBy("lh").agg(
-        flag(~longer & rep & ~last).alias("rep_first"), flag(~longer & rep & last).alias("rep_last"),
-        flag(longer & ins & ~last).alias("long_first"), flag(longer & ins & last).alias("long_last"), flag(~longer & ins).alias("short"),
-    )
-    flags = flags.where("rep_first or rep_last or long_first or long_last or short").join(firsts, "lh")
-    flags = stored(flags.withColumn("place", F.xxhash64("at.th", "at.line_no")))
-
-    # The words of the candidates' first occurrences; other lines are left out by their place, before they are cut into words.
-    text = _maybe_in(_exploded(docs, id_col, text_col).withColumn("place", F.xxhash64("th", "line_no")), flags, "place")
-    same = (F.col("t.place") == F.col("f.place")) & F.col("t.doc_id").eqNullSafe(F.col("f.at.doc_id")) & (F.col("t.th") == F.col("f.at.th")) & (F.col("t.line_no") == F.col("f.at.line_no"))
-    candidates = text.alias("t").join(flags.alias("f"), same).select("f.*", _words(F.col("t.line")).alias("words")).drop("place").dropDuplicates(["lh"])
-    candidates = stored(candidates.withColumn("n", F.size("words")))
-
-    emitted = stored(variants(candidates))
-    who = F.struct("at", "lh")
-    of_kind = lambda k: F.min(F.when(F.col("kind") == k, who))
-    groups = emitted.groupBy("key").agg(of_kind("r").alias("r"), of_kind("d").alias("d"), of_kind("w").alias("w"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    partner = F.when(F.col("kind") == "r", F.col("r")).when(F.col("kind") == "d", F.col("w")).otherwise(F.col("d"))
-    pairs = emitted.join(groups, "key").select("lh", "at", partner.alias("of")).where("of.at < at").select("lh", F.col("of.lh").alias("of")).distinct()
-    words = candidates.select("lh", "words")
-    pairs = pairs.join(words, "lh").join(words.select(F.col("lh").alias("of"), F.col("words").alias("of_words")), "of")
-    near = pairs.where(one_edit(F.col("words"), F.col("of_words"))).select("lh").distinct()
-    kept = firsts.join(near, "lh", "left_anti").select("at.*", F.lit(True).alias("stays"))
-
-    both = lines.select("doc_id", "th", "line_no", F.lit(False).alias("stays")).unionByName(kept)
-    stay = F.collect_set(F.when(F.col("stays"), F.col("line_no")))
-    return both.groupBy("doc_id", "th").agg(F.sort_array(F.array_except(F.collect_set("line_no"), stay)).alias("gone"))
-
-
-def _joined(docs: DataFrame, id_col: str, text_col: str, min_words: int, repeats: bool) -> DataFrame:
-    """``docs`` with __gone."""
-    gone = dropped_lines(docs, id_col, text_col, min_words, repeats).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    met = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    return met.drop("__id", "__th", "__own")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, repeats: bool = False) -> DataFrame:
-    """``docs`` without the lines that an equal or near line precedes."""
-    marked = _joined(docs, id_col, text_col, min_words, repeats)
-    # Byte i of the mask is 0 where line i goes; the mask ends with the last such line.
-    step = F.transform("__gone", lambda x, i: F.concat(F.repeat(F.lit("1"), x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1), F.lit("0")))
-    marked = marked.withColumn("__mask", F.array_join(step, "").cast("binary"))
-    goes = lambda i: F.substring("__mask", i + 1, F.lit(1)) == F.lit("0").cast("binary")
-    text = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~goes(i)), "\n")
-    out = marked.withColumn("__text", F.when(F.size("__gone") > 0, text).otherwise(F.col(text_col)))
+    # The same first words leave edits behind them, the same last words edits before them.
+    free = F.coalesce(i >= F.col("first_q"), F.lit(False)) | F.coalesce(i < n - F.col("last_q"), F.lit(False))
+    cut = each.where(free).join(whole.select("of", "all"), F.col("id") == F.col("of"))
+    cut = cut.select(F.xxhash64(F.col("before").bitwiseXOR(F.col("upto")).bitwiseXOR(F.col("all.moved")), n - 1).alias("key"), "i", "id")
+    return cut.unionByName(whole.select(F.xxhash64("all.own", n).alias("key"), F.lit(-1).alias("i"), F.col("of").alias("id")))
+
+
+def without(words: Column, i: Column) -> Column:
+    """The words but the one at i, from 0; for -1 all."""
+    return F.when(i < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))))
+
+
+def near_groups(candidates: DataFrame) -> DataFrame:
+    """(g, i, id, at): verified groups of lines; of a group, those with one i >= 0 are near each other, and all to that with -1."""
+    group = Window.partitionBy("key")
+    met = variants(candidates).select("*", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high")).where("low < high")
+    # One member of the group is the witness whose variant all others must have.
+    met = stored(met.select("key", "i", "id", F.min(F.struct("id", "i")).over(group).alias("witness")))
+    words = candidates.select("id", "at", "words")
+    sides = met.join(words, "id").join(words.select(F.col("id").alias("wid"), F.col("words").alias("witness_words")), F.col("witness.id") == F.col("wid"))
+    same = without(F.col("words"), F.col("i")) == without(F.col("witness_words"), F.col("witness.i"))
+    return sides.where(same).select(F.col("key").alias("g"), "i", "id", "at")
+
+
+def near_dropped(groups: DataFrame) -> DataFrame | None:
+    """The ids of the lines that go, by rounds over the groups; None if there are none."""
+    dropped = None
+    left = stored(groups)
+    while not left.isEmpty():
+        key, place = Window.partitionBy("g"), Window.partitionBy("g", "i")
+        who = F.struct("at", "id")
+        whole, cut = F.min(F.when(F.col("i") < 0, who)).over(key), F.min(F.when(F.col("i") >= 0, who)).over(key)
+        near = F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least("whole", "lead"))
+        rows = left.select("*", whole.alias("whole"), cut.alias("cut"), F.min(who).over(place).alias("lead")).select("g", "i", "id", "at", near.alias("by"))
+        rows = stored(rows.select("g", "i", "id", "at", F.when(F.col("by.at") < F.col("at"), F.col("by.id")).alias("by")))
+        stays = stored(rows.groupBy("id").agg(F.max("by").alias("by")).where("by is null").select("id"))
+        gone = stored(rows.where("by is not null").join(stays.withColumnRenamed("id", "by"), "by", "left_semi").select("id").distinct())
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left = stored(left.join(stays.unionByName(gone), "id", "left_anti"))
+    return dropped
+
+
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, edits: int = EDITS) -> DataFrame:
+    """(doc_id, th, kept): for each text with lines that aren't blank, the numbers of those that stay, sorted."""
+    if edits not in (0, 1):
+        raise ValueError("edits is 0 or 1")
+    lines = stored(distinct_lines(docs, id_col, text_col, min_words))
+    places = lines.select("at.*", F.lit(True).alias("stays"))
+    if edits:
+        candidates = _candidates(docs, lines, id_col, text_col)
+        gone = near_dropped(near_groups(candidates))
+        if gone is not None:
+            places = places.unionByName(candidates.join(gone, "id", "left_semi").select("at.*", F.lit(False).alias("stays")))
+    numbers = lambda p: F.collect_list(F.when(p, F.col("line_no")))
+    kept = places.groupBy("doc_id", "th").agg(numbers(F.col("stays")).alias("first"), numbers(~F.col("stays")).alias("gone"))
+    return kept.select("doc_id", "th", F.sort_array(F.array_except("first", "gone")).alias("kept"))
+
+
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACE)) == ""
+
+
+def _goes(kept: str) -> Column:
+    """A binary string with 1 at the numbers of ``kept``; a line that isn't blank goes where it has none."""
+    step = F.transform(kept, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get(kept, i - 1), F.lit(-1)) - 1), F.lit("1")))
+    return F.coalesce(F.array_join(step, ""), F.lit("")).cast("binary")
+
+
+def _with_kept(docs: DataFrame, th: Column, kept: DataFrame, id_col: str, mask: str) -> DataFrame:
+    """``docs`` with the mask of the lines that stay."""
+    names = [fresh(docs, f"__{c}") for c in ("doc_id", "th", "kept", "own")]
+    kept = kept.toDF(*names[:3])
+    met = docs.withColumn(names[3], th).join(kept, F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col(names[3]) == F.col(names[1])), "left")
+    return met.withColumn(mask, _goes(names[2])).drop(*names)
+
+
+def _stays(mask: str, i: Column) -> Column:
+    return F.substring(mask, i + 1, F.lit(1)) == F.lit("1").cast("binary")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, edits: int = EDITS) -> DataFrame:
+    """``docs`` without the lines that an equal line, or a near one that stays, precedes."""
+    mask, text = fresh(docs, "__mask"), fresh(docs, "__text")
+    marked = _with_kept(docs, F.xxhash64(text_col), kept_lines(docs, id_col, text_col, min_words, edits), id_col, mask)
+    out = marked.withColumn(text, F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: _blank(line) | _stays(mask, i)), "\n"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__gone") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn(text_col, F.col("__text")).select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.octet_length(text) < F.octet_length(text_col), F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn(text_col, F.col(text)).select(docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, and the dropped lines' numbers from 0, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    own = docs.select("doc_id", F.xxhash64("text").alias("h"), lines.alias("n_lines"))
-    gone = dropped_lines(docs, repeats=True).withColumnRenamed("doc_id", "id")
-    met = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left")
-    found = F.coalesce("gone", F.array().cast("array<int>"))
+    full = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(~_blank(line), i)), lambda i: i.isNotNull())
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), n_lines.alias("n_lines"), F.coalesce(full, F.array().cast("array<int>")).alias("full"))
+    met = _with_kept(own, F.col("h"), kept_lines(docs), "doc_id", "mask")
+    found = F.filter("full", lambda i: ~_stays("mask", i))
     return met.select("doc_id", "n_lines", F.size(found).cast("long").alias("n_dropped"), F.array_join(found.cast("array<string>"), ",").alias("dropped_lines"))
