@@ -1,9 +1,8 @@
-"""Language identification by held-out accuracy; HTML extraction on pages with known text; the pipeline end to end."""
+"""Language identification by held-out accuracy; the pipeline end to end."""
 import random
 
 from pyspark.sql import functions as F
 
-from textquarry.llm import html_text as H
 from textquarry.llm import language as L
 
 WORDS = {"en": "the of and this that with from have which their", "de": "der die und nicht mit sich auf eine auch werden", "fr": "le les des une dans pour que sur avec plus", "es": "el los las una con para que por como pero"}
@@ -26,32 +25,6 @@ def test_language(spark):
     assert {r.language.lang for r in L.identify(docs, none).collect()} == {"und"}
 
 
-def page(k, body, extra=""):
-    return (
-        f"<!DOCTYPE html><html><head><title>t{k}</title><style>p{{}}</style><script>var x='<p>no</p>';</script></head><body><header>Site</header><nav><ul><li>Home<li>About</ul></nav>"
-        f"<div class='cookie-notice'>We use cookies {k}</div><div class=main><div class='content'>{body}<p>Share this page</p></div><aside>Popular {k}</aside></div>{extra}"
-        f"<section id='comments'><p>Nice post {k}</p></section><form><input value=x>Search</form><footer>&copy; Site</footer></body></html>"
-    )
-
-
-def test_wrapper_and_edges(spark):
-    rows = [(k, f"https://a.example/{k}", page(k, f"<h1>Title {k}</h1><p>First&nbsp;<b>bold {k}</b> text<br>more &amp; more<p>Second {k} paragraph\n  of the page</p><ul><li>one {k}<li>two {k}</ul>")) for k in range(12)]
-    rows += [(100, "https://b.example/x", "<article><p>Only page"), (101, None, None), (102, "not a url", ""), (103, "https://c.example/", "plain " * 3000)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, wrapper string")
-    got = {r.page_id: r.text for r in H.extract_pages(pages).collect()}
-    for k in range(12):
-        assert got[k] == f"Title {k}\n\nFirst bold {k} text more & more\n\nSecond {k} paragraph of the page\n\none {k}\n\ntwo {k}"
-    assert got[100] == "Only page" and got[101] == "" and got[102] == "" and got[103] == ("plain " * 3000).strip()
-    assert H.extract_pages(pages.limit(0)).count() == 0
-
-
-def test_tree_matching():
-    a, b = H.parse("<div><p>x</p><ul></ul><p>y</p></div>"), H.parse("<div><p>x</p><p>z</p></div>")
-    size, pairs = H.match(a.children[0], b.children[0])
-    assert size == 3 and [H.own_text(x) for x, _ in pairs] == ["x", "y"]
-    assert len(H.parse("<div>" * 5000).children) == 1
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
