@@ -1,6 +1,7 @@
 """SimHash groups, components and multiset fingerprints against brute force."""
 import hashlib
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -79,21 +80,60 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99}
 
 
+def slow_lanes(text):
+    """The fingerprint by plain integers, a paragraph and a clause at a time."""
+    exact, graded = [0] * 32, [0] * 512
+    for line in text.split("\n") if text else []:
+        d = hashlib.blake2b(line.encode(), digest_size=64, key=b"paragraph").digest()
+        for k in range(32):
+            exact[k] += d[2 * k] + 256 * d[2 * k + 1]
+        for clause in re.findall(P._CLAUSE, line):
+            d = hashlib.blake2b(clause.strip().encode(), digest_size=64, key=b"multiset").digest()
+            for k in range(512):
+                graded[k] += 1 if d[k // 8] >> (7 - k % 8) & 1 else -1
+    return [x % 65536 for x in exact + graded]
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    signed = lambda v: v - 65536 if v >= 32768 else v
+    square = lambda v: sum(signed(x) ** 2 for x in v)
+    a, b = a[32:], b[32:]
+    both = square(a) + square(b)
+    return min(1.0, max(0.0, 1 - square([(x - y) % 65536 for x, y in zip(a, b, strict=True)]) / both)) if both else 0.0
+
+
 def test_multiset_hash():
     f = P.fingerprint("a b. c\nd e.\nx")
+    assert f.tolist() == slow_lanes("a b. c\nd e.\nx") and P.fingerprint("\n").tolist() == slow_lanes("\n")
     assert (f == P.fingerprint("x\na b. c\nd e.")).all() and not (f == P.fingerprint("a b. c\nd e.")).all()
     assert (P.insert(P.fingerprint("a b. c\nd e."), "x") == f).all() and (P.delete(f, "x") == P.fingerprint("a b. c\nd e.")).all()
     assert P.likeness(f, f) == 1 and P.likeness(P.fingerprint(""), P.fingerprint(None)) == 1 and P.likeness(f, P.fingerprint("")) == 0
-
-
-def test_compare_with_next(spark):
-    rows = [(k, " ".join(f"w{k}x{j}." for j in range(k))) for k in range(37)] + [(None, "n"), (5, None), (5, "b")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int")
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    texts = ["alpha beta. gamma delta.\nepsilon zeta.", "alpha beta.\ngamma delta. epsilon zeta.", "epsilon zeta. alpha beta. gamma delta.", "gamma delta. alpha beta.\nepsilon zeta."]
+    assert len({P.to_string(P.fingerprint(t)) for t in texts}) == 4
+    long = "\n".join(f"line {k}, with two clauses" for k in range(5000)) + "\n" + "word. " * 5000
+    assert P.fingerprint(long).tolist() == slow_lanes(long)
+
+
+def test_compare_with_next(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST_ROWS", 4)
+    rows = [(k, " ".join(f"w{k}x{j}." for j in range(k))) for k in range(37)] + [(None, "n"), (None, "m"), (5, None), (5, "b"), (5, "b"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    docs = spark.createDataFrame([(i, t, 1, "h") for i, t in rows], "doc_id long, text string, part int, h string")
+    hashes = {r.text: r.x for r in docs.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as x").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
     want = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
-        e = P.edited(t, n)
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), P.to_string(P.fingerprint(t)), P.to_string(P.fingerprint(e)), P.likeness(P.fingerprint(t), P.fingerprint(e)), P.likeness(P.fingerprint(t), P.fingerprint(n))))
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        a, b, c = map(slow_lanes, (t, e, n))
+        text = lambda v: b"".join(x.to_bytes(2, "little") for x in v).hex()
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(a), text(b), slow_likeness(a, b), slow_likeness(a, c)))
     for part_rows in (4, 1000):
-        assert sorted(map(tuple, P.compare_with_next(docs, part_rows=part_rows).collect()), key=str) == sorted(want, key=str)
+        got = sorted(map(tuple, P.compare_with_next(docs, part_rows=part_rows).collect()), key=str)
+        assert [g[:5] for g in got] == [w[:5] for w in sorted(want, key=str)]
+        assert all(abs(x - y) < 1e-12 for g, w in zip(got, sorted(want, key=str), strict=True) for x, y in zip(g[5:], w[5:], strict=True))
     assert P.compare_with_next(docs.limit(0)).count() == 0 and P.compare_with_next(docs.limit(1)).count() == 1
+    null = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(id as string) as text")
+    out = P.compare_with_next(null)
+    assert out.count() == 3000 and out.rdd.getNumPartitions() > 1
