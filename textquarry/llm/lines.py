@@ -41,29 +41,24 @@ _SPACE = " \t\r\x0b\f"
 UNSPACED = r"[\x{0E00}-\x{3FFFF}&&[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]]"
 
 
-def _spaced(line: Column) -> Column:
-    """Two more characters for each of ``UNSPACED``."""
-    return F.when(F.octet_length(line) == F.length(line), line).otherwise(F.regexp_replace(line, f"({UNSPACED})", " $1 "))
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACE)) == ""
 
 
-def _plain(line: Column) -> Column:
-    """The line's words in lower case with one space between them; empty for a blank line."""
-    low = F.lower(F.btrim(line, F.lit(_SPACE)))
-    odd = low.contains("  ")
+def _normal(rows: DataFrame, *others: str) -> DataFrame:
+    """low: ``text`` in lower case, with one space for each run of white space but line breaks and around each character of
+    ``UNSPACED``; unspaced: whether it has such. Steps of their own, so that no expression is computed twice."""
+    unspaced = F.when(F.octet_length("text") == F.length("text"), False).otherwise(F.col("text").rlike(UNSPACED))
+    rows = rows.select(*others, F.lower("text").alias("low"), unspaced.alias("unspaced"))
+    rows = rows.withColumn("low", F.when(F.col("unspaced"), F.regexp_replace("low", f"({UNSPACED})", " $1 ")).otherwise(F.col("low")))
+    odd = F.col("low").contains("  ")
     for c in _SPACE[1:]:
-        odd = odd | low.contains(c)
-    return F.when(odd, F.regexp_replace(low, r"[ \t\r\x0B\f]+", " ")).otherwise(low)
-
-
-def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+        odd = odd | F.col("low").contains(c)
+    return rows.withColumn("low", F.when(odd, F.regexp_replace("low", r"[ \t\r\x0B\f]+", " ")).otherwise(F.col("low")))
 
 
-def _line(rows: DataFrame, *others: str) -> DataFrame:
-    """x: the words of a line that isn't blank; lh, lh2: its hashes."""
-    rows = rows.select(*others, "line", _spaced(F.col("line")).alias("spaced"))
-    rows = rows.select(*others, (F.length("spaced") - F.length("line")).alias("more"), _plain(F.col("spaced")).alias("x")).where("x != ''")
-    return rows.select("*", F.xxhash64("x").alias("lh"), F.xxhash64("x", F.lit(1)).alias("lh2"))
+def _hashes(x: str) -> list[Column]:
+    return [F.xxhash64(x).alias("lh"), F.xxhash64(x, F.lit(1)).alias("lh2")]
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -72,9 +67,12 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first, last: of half the words; first_less, last_less: of one word less, where that is half of a line shorter by one.
     All four are null below ``min_words``.
     """
-    rows = _line(_exploded(docs, id_col, text_col), "doc_id", "th", "line_no")
-    rows = rows.withColumn("n", F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
-    enough = F.col("n") - F.col("more") / 4 >= min_words
+    rows = _normal(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), "doc_id", "th")
+    rows = rows.select("doc_id", "th", "unspaced", F.posexplode(F.split("low", "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "th", "line_no", "unspaced", F.btrim("line").alias("x")).where("x != ''")
+    rows = rows.select("*", *_hashes("x"), (F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    halves = F.when(F.col("unspaced"), (F.length("x") - F.length(F.regexp_replace("x", UNSPACED, ""))) / 2).otherwise(0)
+    enough = F.col("n") - halves >= min_words
     q = F.floor(F.col("n") / 2).cast("int")
 
     def part(words: Column, where: Column) -> Column:
@@ -117,8 +115,9 @@ def _candidates(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -
     flags = of.groupBy("lh", "lh2").agg(F.first("at").alias("at"), F.first("n").alias("n"), F.min(F.when(~F.col("last"), F.col("q"))).alias("first_q"), F.min(F.when(F.col("last"), F.col("q"))).alias("last_q"))
     flags = stored(flags.withColumn("place", F.xxhash64("at.doc_id", "at.th", "at.line_no")))
     # The words of their first occurrences; other lines are left out by their place, before they are cut into words.
-    text = _maybe_in(_exploded(docs, id_col, text_col).select(F.xxhash64("doc_id", "th", "line_no").alias("place"), "line"), flags, "place")
-    text = _line(text, "place").select("place", "lh", "lh2", F.split("x", " ").alias("words"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "text"))
+    text = _maybe_in(text.select(F.xxhash64("doc_id", "th", "line_no").alias("place"), "text"), flags, "place")
+    text = _normal(text, "place").select("place", F.btrim("low").alias("x")).select("place", *_hashes("x"), F.split("x", " ").alias("words"))
     met = text.join(flags, ["place", "lh", "lh2"]).dropDuplicates(["lh", "lh2"]).drop("place")
     return stored(met.withColumn("id", F.monotonically_increasing_id()))
 
@@ -192,10 +191,6 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.select("doc_id", "th", F.sort_array(F.array_except("first", "gone")).alias("kept"))
 
 
-def _blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACE)) == ""
-
-
 def _goes(kept: str) -> Column:
     """A binary string with 1 at the numbers of ``kept``; a line that isn't blank goes where it has none."""
     step = F.transform(kept, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get(kept, i - 1), F.lit(-1)) - 1), F.lit("1")))
