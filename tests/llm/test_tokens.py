@@ -38,24 +38,57 @@ def _ids(name, text, end):
     return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-def test_packing(spark):
-    docs = spark.createDataFrame([(i, t, 9) for i, t in ROWS], "doc_id long, text string, length int")
+@pytest.mark.parametrize("group", [packing.GROUP, 20])
+def test_packing(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
+    docs = spark.createDataFrame([(i, t, 9, "g") for i, t in ROWS], "doc_id long, text string, length int, row string")
     rows = packing.pack_documents(docs, capacity=64, with_ids=True).toPandas()
     want = sorted(zlib.crc32(_ids(packing.TOKENIZER, t, 0).tobytes()) for _, t in ROWS)
-    whole = {}
     for r in rows.itertuples():
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length <= 64
         assert r.piece == 0 or r.length == 64
-        whole.setdefault((r.doc_id, r.piece, r.start), []).append(r.ids)
+    once = {i for i, _ in ROWS if sum(i == j for j, _ in ROWS) == 1 and i is not None}
+    whole = [zlib.crc32(np.concatenate(g.sort_values("piece")["ids"].tolist()).astype("<u4").tobytes()) for i, g in rows.groupby("doc_id") if i in once]
+    assert sorted(whole) == sorted(zlib.crc32(_ids(packing.TOKENIZER, t, 0).tobytes()) for i, t in ROWS if i in once) and set(whole) <= set(want)
     assert rows["length"].sum() == sum(len(_ids(packing.TOKENIZER, t, 0)) for _, t in ROWS)
     for _, s in rows.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s["length"].sum() <= 64 and s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]]
-    single = rows[rows["doc_id"] == 4].sort_values("piece")
-    assert zlib.crc32(np.concatenate(single["ids"].tolist()).astype("<u4").tobytes()) in want
+    if group > 20:
+        assert rows["sequence_id"].nunique() == -(-rows["length"].sum() // 64)  # as few as there can be
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_books_stay_out_of_groups(spark, monkeypatch):
+    """Only what doesn't fill a sequence is handed to a group."""
+    book = "word " * 300_000
+    docs = spark.createDataFrame([(k, book if k % 5 == 0 else "a few words") for k in range(30)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).toPandas()
+    full = rows[rows["length"] == packing.CAPACITY]
+    assert len(full) > 600 and full["sequence_id"].is_unique and (full["sequence_id"] < 0).all()
+    assert (rows[rows["length"] < packing.CAPACITY]["sequence_id"] >= 0).all()
+
+
+def brute_bins(lengths, capacity):
+    """The fewest bins, by trying all."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[k] <= capacity:
+                place(k + 1, [*bins[:b], bins[b] + lengths[k], *bins[b + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -64,6 +97,13 @@ def test_local_search_empties_bins():
         better = packing.local_search(start, lengths, 100)
         assert sorted(i for b in better for i in b) == list(range(120)) and all(lengths[b].sum() <= 100 for b in better)
         assert len(better) < 0.62 * 120
+    over = 0
+    for _ in range(60):
+        lengths = rng.integers(10, 60, 9)
+        over += len(packing.local_search(packing.best_fit(lengths, 100), lengths, 100)) - brute_bins(sorted(lengths.tolist(), reverse=True), 100)
+    assert over <= 3
+    many = packing.local_search(packing.best_fit(np.full(3000, 1100), 2048), np.full(3000, 1100), 2048)  # nothing to gain
+    assert len(many) == 3000
     assert packing.cut(5, 2) == [(0, 1), (1, 3), (3, 5)] and packing.cut(4, 2) == [(0, 2), (2, 4)] and packing.cut(1, 2) == [(0, 1)]
 
 

@@ -39,6 +39,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows between the JVM and Python: what bounds a worker's memory where texts are long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark cut Arrow batches at ``BATCH_BYTES`` too, not by 10,000 rows alone. It is a setting of the session, which a
+    caller may lower further; a single row is never cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_ = spark.conf.get(name, None)
+    if set_ is None or not set_.isdigit() or not 0 < int(set_) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

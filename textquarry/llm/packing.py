@@ -1,33 +1,38 @@
 """Best-fit packing of tokenized documents, improved by a swap-based local search.
 
-Documents are cut into pieces of at most ``capacity`` ids (the first piece takes the odd length). Pieces are dealt by a
-hash into groups of about ``GROUP`` pieces, so no key decides a group's size, and each group is packed in one task: best
-fit by falling length, then a local search that takes the emptiest sequence and moves a piece into another one, exchanges
-one piece for one, or two for one, whenever the sum of squared fills rises, until the sequence is empty. The search ends
-at the bound of ceil(ids / capacity) sequences, or when ``TRIES`` of the emptiest sequences in a row can't be emptied.
-
-Defined results: null text counts as empty, a document of the end id alone; rows with the same doc_id are packed each on
-its own; an empty table gives no rows. Where the table has no doc_id twice, (doc_id, piece) is unique.
+Documents are cut into pieces of at most ``capacity`` ids (the first piece takes the odd length). A full piece is a sequence
+by itself and goes nowhere. The others are dealt by a hash of their place in the stored table into groups of about ``GROUP``
+pieces, so neither keys nor copies nor long documents decide a group's size, and each group is packed in one task: best fit
+by falling length, then a local search that takes the emptiest sequence and moves a piece into another one, exchanges one
+piece for one, or two for one, whenever the sum of squared fills rises, until the sequence is empty. The search ends at the
+bound of ceil(ids / capacity) sequences, or when each underfull sequence has been tried and none of these steps is left for it.
+
+Defined results: null text counts as empty, a document of the end id alone; rows with the same doc_id, equal rows among them,
+are packed each on its own, and (doc_id, piece) is unique where no doc_id comes twice; a text of any length is encoded whole;
+other columns are left out, whatever their names; an empty table gives no rows. With ``with_ids`` the pieces carry their ids,
+which are joined to the packed pieces by their place and never enter a group.
 """
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_batches, stored, table
 from .encoder import encoder
 
 CAPACITY = 2048
 GROUP = 32_768
-TRIES = 200
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -38,25 +43,31 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """A row for each piece; ``with_ids`` adds the piece's ids."""
+    """A row for each piece, numbered by ``row``; ``with_ids`` adds the piece's ids."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 512):
-                part = texts.slice(at, 512).to_pylist()
-                for doc_id, ids in zip(doc_ids[at : at + 512], encode(part), strict=True):
+                rows, flat = [], []
+                for doc_id, ids in zip(doc_ids[at : at + 512], encode(texts.slice(at, 512).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    flat.append(ids)
                     for k, (a, b) in enumerate(cut(len(ids), capacity)):
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tolist()] * with_ids)))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
-
+                        rows.append((row, doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                        row += 1
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                if with_ids:  # pieces follow each other in the ids
+                    ends = np.concatenate(([0], np.cumsum([r[4] for r in rows]))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(pieces, schema)
 
 
@@ -82,7 +93,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = TRIES) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empties bins by moves and exchanges that raise the sum of squared fills."""
     bins = [list(b) for b in bins]
     owner = np.zeros(len(lengths), np.int64)
@@ -91,34 +102,55 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, trie
     fill = np.bincount(owner, lengths, len(bins)).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
     least = -(-int(lengths.sum()) // capacity)
     left = len(bins)
+    reach: np.ndarray | None = None  # by length n: the longest that could take the place of an item of at most n
 
     def put(item: int, to: int) -> None:
+        nonlocal reach
+        reach = None
         bins[owner[item]].remove(item)
         fill[owner[item]] -= lengths[item]
         bins[to].append(item)
         fill[to] += lengths[item]
         owner[item] = to
 
+    def reachable() -> np.ndarray:
+        room = np.full(capacity + 1, -capacity - 1)
+        np.maximum.at(room, lengths, (capacity - fill)[owner])
+        return np.maximum.accumulate(room + np.arange(capacity + 1))
+
     def improve(donor: int) -> bool:
         """One step out of the donor; the fuller side of every step gets fuller."""
-        items = sorted(bins[donor], key=lambda i: -lengths[i])
+        nonlocal reach
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i in bins[donor]:
+            by_length[int(lengths[i])].append(i)
+        sizes = sorted(by_length, reverse=True)
         free = capacity - fill
         free[donor] = -1
         free[fill == 0] = -1
-        for item in items:
-            fits = np.where(free >= lengths[item], free, capacity + 1)
-            if (to := int(fits.argmin())) is not None and fits[to] <= capacity and fill[to] + lengths[item] > fill[donor]:
-                put(item, to)
+        most = int(free.max())
+        for n in sizes:
+            if n > most:
+                continue
+            fits = np.where(free >= n, free, capacity + 1)
+            to = int(fits.argmin())
+            if fill[to] + n > fill[donor]:
+                put(by_length[n][0], to)
                 return True
-        room = free[owner]
-        pairs = [(a,) for a in items] + [(a, b) for n, a in enumerate(items) for b in items[n + 1 :]][:64]
-        for give in pairs:
-            size = int(sum(lengths[i] for i in give))
+        if reach is None:
+            reach = reachable()
+        room = None
+        singles = [(n, (by_length[n][0],)) for n in sizes]
+        pairs = [(2 * n, tuple(by_length[n][:2])) for n in sizes if len(by_length[n]) > 1]
+        pairs += [(a + b, (by_length[a][0], by_length[b][0])) for a, b in combinations(sizes, 2)]
+        for size, give in singles + sorted(dict(pairs).items(), reverse=True):
+            if reach[min(size - 1, capacity)] < size:
+                continue
+            room = free[owner] if room is None else room
             gain = size - lengths
             good = (gain > 0) & (room >= gain) & (fill[owner] + gain > fill[donor])
             if good.any():
-                rest = np.where(good, room - gain, capacity + 1)
-                take = int(rest.argmin())
+                take = int(np.where(good, room - gain, capacity + 1).argmin())
                 to = int(owner[take])
                 put(take, donor)
                 for i in give:
@@ -126,18 +158,16 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, trie
                 return True
         return False
 
-    failed: set[int] = set()
-    while left > least and len(failed) < tries:
-        open_bins = np.where((fill > 0) & (fill < capacity), fill, capacity + 1)
-        if failed:
-            open_bins[list(failed)] = capacity + 1
-        if not len(open_bins) or open_bins.min() > capacity:
-            break
+    failed = np.zeros(len(bins), bool)
+    while left > least:
+        open_bins = np.where((fill > 0) & (fill < capacity) & ~failed, fill, capacity + 1)
         donor = int(open_bins.argmin())
+        if open_bins[donor] > capacity:
+            break
         while bins[donor] and improve(donor):
             pass
         if bins[donor]:
-            failed.add(donor)
+            failed[donor] = True
         else:
             left -= 1
     return [b for b in bins if b]
@@ -157,17 +187,20 @@ def pack_documents(
     text_col: str = "text", with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of all documents with their sequence and their place in it."""
-    pieces = stored(encode_pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), tokenizer, end_id, capacity, with_ids))
+    made = stored(encode_pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, end_id, capacity, with_ids))
+    pieces = made.drop("ids")
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // GROUP))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="pack_group").sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        rows = rows.drop(columns="pack_group").sort_values("row", ignore_index=True)
         which, offset = pack(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 32) + which, offset=offset)
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("pack_group").applyInPandas(packed, schema)
+    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = pieces.where(F.col("length") < capacity).withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    out = full.unionByName(dealt.groupBy("pack_group").applyInPandas(packed, schema))
+    return (out.join(made.select("row", "ids"), "row") if with_ids else out).drop("row")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
