@@ -2,6 +2,7 @@
 import os
 import random
 import zlib
+from functools import cache
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 import numpy as np
@@ -34,8 +35,13 @@ def test_encoder_is_the_library(name, monkeypatch):
 ROWS = [(3, "c c c"), (1, None), (2, ""), (1, None), (None, "nobody"), (4, "word " * 5000), *((k, t) for k, t in enumerate(texts(150), 10))]
 
 
+@cache
+def _library(name):
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 def _ids(name, text, end):
-    return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*_library(name).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("group", [packing.GROUP, 20])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded_batches, stored, table
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -220,6 +220,7 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """conv_id, block, n_turns, n_merged, n_relabelled, n_inserted, cost and the rendered text of every block."""
+    bounded_batches(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
     # Equal rows may be taken in any order, so their number only serves to deal many of them to several ranges.
     order = ["conv_id", "turn", "role", "text"]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 EXACT, LANES, KEY, CLAUSE_KEY = 32, 512, b"paragraph", b"multiset"
 #: Rows of a part, about; and the fewest that a part is made of where there are parts enough for all tasks.
@@ -146,6 +146,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``OUT`` for every document: its fingerprint beside that of its edited text and of the next document."""
     kinds = dict(x.split() for x in OUT.split(", "))
     arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     # What sorts like falling doc_ids, null last, then the hash.
     key = [F.col("doc_id").isNull().alias("missing"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("falling"), F.col("h")]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fresh, stored, table
+from .common import bounded_batches, fresh, stored, table
 
 #: Pages beside the reference that a wrapper needs; share of the varying text in the content; equal text of a copy.
 VOTES, SHARE, COPY = 2, 0.75, 0.8
@@ -535,6 +535,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col``, the main text of each page, instead of the html."""
+    bounded_batches(pages.sparkSession)
     source, host, found = (F.col(html_col), host_of(F.col(url_col)), fresh(pages, "__wrapper"))
     known = wrappers(pages.select(host.alias("host"), source.alias("html"), F.xxhash64(id_col, url_col).alias("h")))
     hosted = pages.select(host.alias("host"), F.struct(*pages.columns).alias("page"), source.alias("html"))

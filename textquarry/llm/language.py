@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 DIMENSIONS = 4096
 #: Labelled rows a language that the classifiers are fitted on, about.
@@ -168,6 +168,7 @@ class Model:
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from the rows where ``learn`` holds and the language is not null."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with the struct ``out_col`` of lang and score; only the text is read."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_string, table
+from .common import bounded_batches, spans_string, table
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -132,6 +132,8 @@ def scan(text: str | None, window: int = WINDOW, allow: tuple[re.Pattern, ...] =
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets", window: int = WINDOW) -> DataFrame:
     """``docs`` with the array ``out_col`` of the spans found, in code points, end exclusive."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import bounded_batches, shared_dir, stored, table
 from .encoder import encoder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -70,6 +70,7 @@ def write_token_files(
     shard_docs: int = SHARD_DOCS,
 ) -> DataFrame:
     """Writes the shards and returns the stored manifest, a row for each."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-rows.count() // shard_docs))
 
