@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from textquarry.llm import fingerprint as P
@@ -49,9 +50,42 @@ def test_trie_links():
             p.append(x)
         p = np.unique(np.array(p, np.uint64))
         near = [(i, i + 1 + int(j)) for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p[i] ^ p[i + 1 :]) <= 4)]
-        forest = H.trie_links(p)
-        assert all(int(p[a] ^ p[b]).bit_count() <= 4 for a, b in forest)
-        assert groups(len(p), forest) == groups(len(p), near)
+        for leaf, frontier in ((H.LEAF, H.FRONTIER), (1, 10), (4, 1 << 20), (10**6, 50)):
+            forest = H.trie_links(p, 4, leaf, frontier)
+            assert all(int(p[a] ^ p[b]).bit_count() <= 4 for a, b in forest)
+            assert groups(len(p), forest) == groups(len(p), near)
+    for n in (1, 2, 3, 16, 17):
+        p = np.arange(n, dtype=np.uint64)
+        assert len(H.trie_links(p)) == n - 1
+
+
+def test_crowded_bucket():
+    """50,000 fingerprints that agree in two blocks: chains of near ones among random others."""
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 1 << 43, 50_000, dtype=np.uint64)
+    for k in range(0, 40_000, 4):
+        p[k + 1] = p[k] ^ np.uint64(0b1111)
+        p[k + 2] = p[k + 1] ^ np.uint64(0b1111 << 30)
+    p = np.unique(p)
+    forest = H.trie_links(p)
+    assert all(int(p[a] ^ p[b]).bit_count() <= 4 for a, b in forest) and len(forest) >= 19_990
+
+
+@pytest.mark.parametrize("split", [3, 16_384])
+def test_links_of_split_buckets(spark, split):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 6, dtype=np.uint64)
+    p = set()
+    for _ in range(300):
+        x = int(base[rng.integers(6)])
+        for _ in range(int(rng.integers(1, 9))):
+            x ^= 1 << int(rng.integers(64))
+        p.add(x)
+    p = sorted(p)
+    at = {x - (1 << 64) if x >> 63 else x: k for k, x in enumerate(p)}
+    near = [(a, b) for a in range(len(p)) for b in range(a) if (p[a] ^ p[b]).bit_count() <= 4]
+    got = [(at[r.a], at[r.b]) for r in H.links(spark.createDataFrame([(x,) for x in at], "fp long"), split=split).collect()]
+    assert groups(len(p), got) == groups(len(p), near)
 
 
 def test_groups(spark):
