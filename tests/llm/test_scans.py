@@ -56,21 +56,28 @@ def brute(docs, items, n=5):
     return out
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(2)
     text = lambda lo, hi: " ".join(rng.choice(["aa", "bb", "Cc", "dd,", "é"]) for _ in range(rng.randint(lo, hi)))
     items = [(i, text(0, 12)) for i in range(30)] + [(30, None), (31, "Aa bb"), (31, "Aa bb"), (None, "zz zz")]
     docs = [(d, text(0, 40)) for d in range(60)] + [(60, None), (61, ""), (62, "x " * 5000 + "aa bb zz zz")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, [i for i in items if i[0] is not None], 5)
-    for block in (1 << 20, 60):
-        D.item_blocks.__defaults__ = (block,)
+    for block, most in ((1 << 20, 4), (60, 2), (9, 1000)):
+        monkeypatch.setattr(D, "BLOCK_CHARS", block)
+        monkeypatch.setattr(D, "PASS_BLOCKS", most)
         got = {r.doc_id: r.contamination for r in D.find_contamination(df, bench, window=5).collect()}
         for d, (n, hit, found) in want.items():
             assert (got[d].n_words, got[d]["items"]) == (n, found)
             if d != 62:
                 assert sum(s.end - s.start for s in got[d].spans) == hit
-    D.item_blocks.__defaults__ = (D.BLOCK_CHARS,)
+    for n in (1, 4, 5, 6, 30, 31):  # the parts of a long item hold each of its windows, and no other
+        found = [f"w{k}" for k in range(n)]
+        parts = [p.split() for p in D.parts_of(" ".join(found), 5, 20)]
+        windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        assert set().union(*map(windows, parts)) == windows(found) and (n >= 5 or parts == [found])
+    clash = df.selectExpr("*", "1 as __found", "2 as __cut", "3 as contamination", "4 as n_chars")
+    assert D.decontaminate(clash, bench, window=5).columns == clash.columns
     assert D.cut_words("One, two; three four!", [(1, 3)]) == "One,  four!"
     kept = {r.doc_id: r.text for r in D.decontaminate(spark.createDataFrame([(1, "a b c " * 100 + "q w e r t"), (2, "q w e r t"), (3, None)], "doc_id long, text string"), spark.createDataFrame([(1, "q w e r t")], "item_id long, text string"), window=5).collect()}
     assert set(kept) == {1, 3} and "q w" not in kept[1]

@@ -6,12 +6,15 @@ the last ``window`` words are a hit, and the items that hold them are those of t
 fewer words is hit as a whole. Words of no item put the automaton back to its start, so only runs of known words at
 least as long as the shortest window are streamed.
 
-The automaton is built and broadcast for blocks of items of at most ``BLOCK_CHARS`` characters (an item longer than that
-is a block of its own); more items mean more blocks and passes, not a larger broadcast.
+The automaton is built and broadcast for blocks of items of at most ``BLOCK_CHARS`` characters, made on the executors and
+stored; an item longer than that is cut into parts that share ``window`` - 1 words, which keeps every window whole. (A part has a
+window's words at least, however long they are.) One pass over the texts runs up to ``PASS_BLOCKS`` automata; more items mean
+more passes, not a larger broadcast.
 
 Defined results: null text or null item has no words; an item without words matches nothing; null item_ids are left out
 of the lists but their words still hit; repeated items count each id once; rows with the same doc_id are judged each on
-its own; an empty table on either side gives no hits. Other columns pass through.
+its own; a text of any length is streamed whole; an empty table on either side gives no hits. Other columns pass through,
+whatever their names, but one of the result's own name is replaced.
 """
 from __future__ import annotations
 
@@ -22,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, fresh, stored, table
 
 WINDOW = 13
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS, PASS_BLOCKS = 1 << 19, 4
 #: 1 / COVERAGE of a document's words is the share of hit words from which it counts as contaminated.
 COVERAGE = 20
 
@@ -143,34 +146,66 @@ class Automaton:
         return [tuple(x) for x in spans], items
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, one at a time on the driver; usually one."""
+def parts_of(text: str, window: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[str]:
+    """A text, or the normalised words of a long one in parts that share ``window`` - 1 words."""
+    if len(text) <= chars:
+        yield text
+        return
+    found = words(text)
+    a = 0
+    while a == 0 or a + window <= len(found):
+        b, size = a, 0
+        while b < len(found) and (b - a < window or size + len(found[b]) < chars):
+            size += len(found[b]) + 1
+            b += 1
+        yield b" ".join(found[a:b]).decode("utf-8", "surrogatepass")
+        if b == len(found):
+            return
+        a = b - window + 1
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks of bounded size; the driver holds one at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-total // block_chars))
-    if parts == 1:
-        rows = items.collect()
-        yield [(r["id"], r["text"]) for r in rows]
-        return
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(2 * parts)))
-    for block in range(2 * parts):
-        yield [(r["id"], r["text"]) for r in numbered.where(F.col("block") == block).collect()]
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            for item, text in zip(batch["id"], batch["text"], strict=True):
+                for part in parts_of(text, window, block_chars):
+                    if held and size + len(part) > block_chars:
+                        yield pd.DataFrame({"items": [held]})
+                        held, size = [], 0
+                    held.append({"id": item, "text": part})
+                    size += len(part)
+        if held:
+            yield pd.DataFrame({"items": [held]})
+
+    # Few partitions, so that blocks are filled; each is streamed.
+    made = items.coalesce(max(1, -(-total // (64 * block_chars)))).mapInPandas(blocks, "items array<struct<id:string,text:string>>")
+    for row in stored(made).toLocalIterator():
+        yield [(r["id"], r["text"]) for r in row["items"]]
 
 
 MATCH = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _matcher(shared, kind):
-    """A UDF over texts and what earlier blocks of items have found in them."""
+def _matcher(shared: list, kind):
+    """A UDF over texts and what earlier passes have found in them."""
 
     @F.pandas_udf(kind)
     def matched(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
+        automata = [b.value for b in shared]
         for texts, before in batches:
             n_words, spans, items = [], [], []
             for text, old_spans, old_items in zip(texts, before["spans"], before["items"], strict=True):
                 found = words(text)
-                s, i = automaton.match(found)
+                s, i = automata[0].match(found) if automata else ([], set())
+                for automaton in automata[1:]:
+                    more, others = automaton.match(found)
+                    s, i = merged(s + more), i | others
                 if old_spans is not None:
                     s, i = merged([(x["start"], x["end"]) for x in old_spans] + s), {*i, *old_items}
                 n_words.append(len(found))
@@ -186,13 +221,18 @@ def find_contamination(
     window: int = WINDOW, out_col: str = "contamination",
 ) -> DataFrame:
     """``docs`` with the struct ``out_col``: n_words, merged spans of hit words, and the sorted ids of the items found."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn(out_col, F.lit(None).cast(f"struct<{MATCH.replace(' long', ':long').replace(' array', ':array')}>"))
-    for block in item_blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-
-        matched = _matcher(shared, out.schema[out_col].dataType)
-        out = out.withColumn(out_col, matched(F.col(text_col), F.col(out_col)))
+    kind = out.schema[out_col].dataType
+    shared: list = []
+    passes = 0
+    for block in item_blocks(benchmark, item_id, item_text, window, BLOCK_CHARS):
+        shared.append(context.broadcast(Automaton(block, window)))
+        if len(shared) == PASS_BLOCKS:
+            out, shared, passes = out.withColumn(out_col, _matcher(shared, kind)(F.col(text_col), F.col(out_col))), [], passes + 1
+    if shared or not passes:
+        out = out.withColumn(out_col, _matcher(shared, kind)(F.col(text_col), F.col(out_col)))
     return out
 
 
@@ -238,14 +278,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAG
         # Evaluated for rows without a hit as well, null texts among them.
         return pd.Series([cut_words(t, [(x["start"], x["end"]) for x in s]) if t and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = find_contamination(docs, benchmark, window=window, out_col="__found")
-    hit = F.size("__found.spans") > 0
-    out = found.where(~contaminated("__found", coverage))
-    out = out.withColumn("__cut", F.when(hit, cut("text", "__found.spans")).otherwise(F.col("text")))
-    for name, value in (("n_chars", F.when(hit, F.length("__cut").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None), ("text", F.col("__cut"))):
-        if value is not None:
-            out = out.withColumn(name, value)
-    return out.select(docs.columns)
+    mark, text = fresh(docs, "__found"), fresh(docs, "__cut")
+    found = find_contamination(docs, benchmark, window=window, out_col=mark)
+    hit = F.size(f"{mark}.spans") > 0
+    out = found.where(~contaminated(mark, coverage)).withColumn(text, F.when(hit, cut("text", f"{mark}.spans")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(text)).select(docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
