@@ -1,8 +1,10 @@
 """Helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_held: list[tuple[str, Callable[[], None]]] = []
+
+
+def holds_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker by an operator that keeps a cache there: Spark reuses workers, so what another one keeps goes.
+
+    ``clear`` is what frees the caller's cache in its turn.
+    """
+    if _held and _held[0][0] != owner:
+        _held.pop()[1]()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+    _held[:] = [(owner, clear)]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

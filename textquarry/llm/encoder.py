@@ -13,6 +13,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .common import holds_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Unicode white space outside ASCII, and the separators that some engines count as such.
@@ -27,8 +29,8 @@ _WITH_SPACE = re.compile(rf"[\t\n\r\v\f](?=[^ \t\n\r\v\f])| ?{_LETTERS}| ?{_MARK
 _NO_SPACE = re.compile(rf"{_LETTERS}|{_MARKS}|[^ \t\n\r\v\f]+")
 #: Chunks of more characters are encoded but not kept.
 KEPT_CHARS = 64
-#: The cache starts anew at so many chunks.
-KEPT_CHUNKS = 1_000_000
+#: The cache starts anew at so many chunks; some 200 bytes each.
+KEPT_CHUNKS = 700_000
 #: Characters handled at once.
 BATCH_CHARS = 1_000_000
 
@@ -57,7 +59,7 @@ class Encoder:
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.offset, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.offset, self.count = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32)
         self.n = 0
 
     def _add(self, chunks: list[str]) -> None:
@@ -92,10 +94,10 @@ class Encoder:
             self._add(list(new))
             missing = np.flatnonzero(at < 0) if len(new) < self.n else np.arange(len(flat))
             at[missing] = self._places([flat[k] for k in missing.tolist()])
-        counts = self.count[at]
+        counts = self.count[at].astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.offset[at] - (ends - counts), counts) + np.arange(total)]
+        ids = self.flat[np.repeat(self.offset[at].astype(np.int64) - (ends - counts), counts) + np.arange(total)]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         borders = np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]]
         for chunk in new:
@@ -118,6 +120,11 @@ class Encoder:
 
 
 @cache
-def encoder(name: str) -> Encoder:
-    """One encoder a worker process and vocabulary."""
+def _encoder(name: str) -> Encoder:
     return Encoder(name)
+
+
+def encoder(name: str) -> Encoder:
+    """One encoder a worker process and vocabulary, until another operator's cache takes its place."""
+    holds_cache(f"encoder {name}", _encoder.cache_clear)
+    return _encoder(name)

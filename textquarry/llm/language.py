@@ -23,11 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, holds_cache, table
 
 DIMENSIONS = 4096
 #: Labelled rows a language that the classifiers are fitted on, about.
 SAMPLE = 500
+#: The cache starts anew at so many words; some 200 bytes each.
 KEPT_WORDS = 300_000
 UNKNOWN = "und"
 # Families of ISO 639-1 codes; a code that is not here is a family of its own.
@@ -111,6 +112,9 @@ class Model:
             fits.append(svm(z[rows], np.where(lang[rows] == languages[f][a], 1, -1)))
         return cls(families, languages, pairs, np.array([w * scale for w, _ in fits]).T, np.array([b for _, b in fits]))
 
+    def forget(self) -> None:
+        self.cache, self.rows = {}, None
+
     def _score_words(self, words: list[str]) -> np.ndarray:
         """Places of the words' rows (sums of weights, number of grams) in self.rows."""
         new = set(words).difference(self.cache)
@@ -194,6 +198,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     @F.pandas_udf("lang string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
+        holds_cache("language", own.forget)
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score"])
 
