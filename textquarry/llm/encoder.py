@@ -31,6 +31,8 @@ _NO_SPACE = re.compile(rf"{_LETTERS}|{_MARKS}|[^ \t\n\r\v\f]+")
 KEPT_CHARS = 64
 #: The cache starts anew at so many chunks; some 200 bytes each.
 KEPT_CHUNKS = 700_000
+#: It does so at so many ids too, long chunks' ones among them.
+KEPT_IDS = 1 << 24
 #: Characters handled at once.
 BATCH_CHARS = 1_000_000
 
@@ -88,7 +90,7 @@ class Encoder:
         at = self._places(flat)
         new = dict.fromkeys(flat[k] for k in np.flatnonzero(at < 0).tolist())
         if new:
-            if len(self.place) and len(self.place) + len(new) > KEPT_CHUNKS:
+            if len(self.place) and (len(self.place) + len(new) > KEPT_CHUNKS or self.used > KEPT_IDS):
                 self._clear()
                 new = dict.fromkeys(flat)
             self._add(list(new))
