@@ -164,3 +164,36 @@ def test_front_matter(spark):
     left = M.without_repeated_contents(spark.createDataFrame([(1, k, t) for k, t in enumerate(toc)], "doc_id long, block_seq int, text string"))
     assert sorted(r.block_seq for r in left.collect()) == [2, 3, 4, 5]
     assert one(spark, M.readable_symbols(F.lit(chr(0xF0E5) + "a" + chr(0xE004) + chr(0xF8FE)))) == "∑a[未映射公式符号U+F8FE]"
+
+
+def test_fuzzy_titles(spark):
+    """Against all pairs, scored and assigned one after the other."""
+    import difflib
+    import random
+
+    from textquarry.operators import catalog
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    base = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(40)]
+
+    def typo(t):
+        c = list(t)
+        for _ in range(rng.randint(0, 1 + len(c) // 5)):
+            c[rng.randrange(len(c))] = rng.choice("abcdexyz")
+        return "".join(c)
+
+    left = [(k, typo(rng.choice(base))) for k in range(60)] + [(60, "the quick brown fox jumps over the lazy dog zqxjkv"), (61, None), (62, "")]
+    right = [(k, typo(rng.choice(base))) for k in range(70)] + [(70, "the quick brown fox jumps over the lazy dog"), (71, "zqxjkv"), (72, None)]
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 6)
+    pairs = {(i, j): ratio(a, b) for i, a in left for j, b in right if a and b}
+    dfs = [spark.createDataFrame(x, "id long, title string") for x in (left, right)]
+    for least in (0.69, 0.8):
+        assert {(r.left_id, r.right_id): r.similarity for r in catalog.similar_titles(*dfs, least).collect()} == {k: v for k, v in pairs.items() if v >= least}
+    used, want = set(), []
+    for i, a in left:
+        free = sorted((-v, j) for (x, j), v in pairs.items() if x == i and j not in used)
+        if free and -free[0][0] >= 0.72 and (len(free) == 1 or round(free[1][0] - free[0][0], 6) >= 0.03):
+            used.add(free[0][1])
+            want.append((i, free[0][1], -free[0][0]))
+    assert sorted(map(tuple, catalog.fuzzy_titles(*dfs).collect())) == want and (60, 70) in {w[:2] for w in want}

@@ -1,11 +1,12 @@
 """Catalogue joins: aliases by priority, unique fallbacks, fuzzy titles, and the corpus projection."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.metadata import title_similarity
-from textquarry.functions.text import bigrams, nz
+from textquarry.functions.text import nz
 
 from .retrieval import ranked
 
@@ -33,21 +34,64 @@ def unique_match(rows: DataFrame, catalogue: DataFrame, key: Column, catalogue_k
     return met.withColumn("match_status", status).withColumn("match_id", F.when(F.col("__n") == 1, F.col("__id"))).drop("__k", "__id", "__n")
 
 
+def _pairs_of(titles: DataFrame, side: str) -> DataFrame:
+    """(id, title, length, gram): the pairs of characters, the k-th of equal ones numbered k, so that sets are multisets."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length("title") - 1), lambda i: F.struct(F.substring("title", i, F.lit(2)).alias("g"), i.alias("i")))
+    each = titles.where(F.length("title") >= 2).select(F.col("id").alias(f"{side}_id"), F.col("title").alias(side), F.inline(pairs))
+    nth = F.row_number().over(Window.partitionBy(f"{side}_id", side, "g").orderBy("i"))
+    return each.withColumn("gram", F.struct("g", nth.alias("k"))).drop("g", "i")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(left_id, right_id, similarity) of all pairs of titles (id, title) that reach ``least``, which must be above 2/3.
+
+    A ratio r of titles of n and m characters means M >= r (n + m) / 2 characters in matching blocks. Between two blocks some
+    character of either title is unmatched, so there are at most n + m - 2 M + 1 blocks, and a block of c characters holds
+    c - 1 common pairs of characters: (3 r / 2 - 1) (n + m) - 1 common pairs at least. That many are asked for before a pair
+    of titles is scored. Titles so short that they may share no pair share a character and meet on that.
+    """
+    if not least > 2 / 3:
+        raise ValueError("least must be above 2/3")
+    share = 1.5 * least - 1
+    both = F.length("left") + F.length("right")
+    fits = (F.length("right") * least <= F.length("left") * (2 - least)) & (F.length("left") * least <= F.length("right") * (2 - least))
+    common = _pairs_of(left, "left").join(_pairs_of(right, "right"), "gram").where(fits).groupBy("left_id", "left", "right_id", "right").count()
+    met = common.where(F.col("count") >= share * both - 1 - 1e-9).drop("count")
+    most = int(1 / share)
+    chars = lambda df, side: df.where(F.length("title") < most).select(F.col("id").alias(f"{side}_id"), F.col("title").alias(side), F.explode(F.array_distinct(F.split("title", ""))).alias("ch"))
+    short = chars(left, "left").join(chars(right, "right"), "ch").where(fits & (both * share <= 1 + 1e-9)).drop("ch")
+    scored = met.unionByName(short).distinct().withColumn("similarity", F.round(title_similarity("left", "right"), 6))
+    return scored.where(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+
+
 def fuzzy_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
-    """(left_id, right_id, similarity): best title of at least ``least``, ahead of the next by ``margin``.
+    """(left_id, right_id, similarity): for each left title, in the order of the ids, its best right title that is still free.
 
-    left and right: id, title. A pair of that ratio shares pairs of characters, so titles meet on their rarest five pairs, not
-    all with all; candidates are then scored.
+    It must reach ``least`` and be ahead of the next free one by ``margin``. What is free depends on the titles before, but
+    only on those that compete for the same ones: groups connected by pairs within reach are settled in an Arrow function each.
     """
-    grams = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("title").alias(side), F.explode(F.array_distinct(bigrams("title"))).alias("g"))
-    r = grams(right, "right")
-    df = r.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    few = ranked(grams(left, "left").join(df, "g"), ["left_id"], [F.col("df"), F.col("g")], 5, "k").select("left_id", "left", "g")
-    pairs = few.join(r, "g").select("left_id", "left", "right_id", "right").distinct()
-    scored = pairs.withColumn("similarity", F.round(title_similarity("left", "right"), 6))
-    order = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
-    top = scored.withColumn("k", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("similarity").over(order), F.lit(0.0)))
-    return top.where((F.col("k") == 1) & (F.col("similarity") >= least) & (F.col("similarity") - F.col("next") >= margin)).select("left_id", "right_id", "similarity")
+    near = similar_titles(left, right, least - margin)
+    group = near.select("left_id", F.col("left_id").alias("g")).distinct()
+    while True:  # names of groups fall to the smallest id in reach
+        spread = near.join(group, "left_id").groupBy("right_id").agg(F.min("g").alias("r"))
+        after = near.join(spread, "right_id").groupBy("left_id").agg(F.min("r").alias("g"))
+        after = after.checkpoint() if near.sparkSession.conf.get("spark.checkpoint.dir", None) else after
+        if after.join(group.withColumnRenamed("g", "old"), "left_id").where("g <> old").isEmpty():
+            break
+        group = after
+
+    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for lid, own in sorted(rows.groupby("left_id"), key=lambda x: x[0]):
+            free = sorted((-s, r) for r, s in zip(own["right_id"], own["similarity"], strict=True) if r not in used)
+            if free and -free[0][0] >= least and (len(free) == 1 or round(free[1][0] - free[0][0], 6) >= margin):
+                used.add(free[0][1])
+                out.append((lid, free[0][1], -free[0][0]))
+        return pd.DataFrame(out, columns=["left_id", "right_id", "similarity"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("left_id", "right_id", "similarity"))
+    return near.join(group, "left_id").groupBy("g").applyInPandas(settle, schema)
 
 
 def gates(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -86,12 +86,16 @@ def j6_overlap_trace(t: Tables):
     return c.join(source, F.col("source") == F.col("source_id"), "left").select("chunk_id", "source_id", (F.col("source").isNotNull() & F.col("source_id").isNull()).alias("broken"))
 
 
+def host_titles(t: Tables):
+    """Host names of all pages, and those without their first label."""
+    hosts = t.pages.select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("id")).where("id <> ''").distinct()
+    return hosts.withColumn("title", F.col("id")), hosts.select(F.regexp_replace("id", r"^[^.]+[.](?=.*[.].*[.])", "").alias("id")).distinct().withColumn("title", F.col("id"))
+
+
 @C.add()
 def j9_fuzzy_match(t: Tables):
-    """The first 60 characters of benchmark items against those of documents' first lines."""
-    left = t.benchmark.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("title"))
-    right = t.documents.select(F.col("doc_id").alias("id"), F.left(T.latin_lead("text"), F.lit(60)).alias("title")).where("length(title) >= 8")
-    return catalog.fuzzy_titles(left, right)
+    """Host names of pages against shortened ones, each of these taken once."""
+    return catalog.fuzzy_titles(*host_titles(t))
 
 
 @C.add("SELECT c_custkey, CASE n WHEN 1 THEN 'matched' ELSE CASE WHEN n > 1 THEN 'conflict' ELSE 'none' END END AS match_status, CASE WHEN n = 1 THEN k END AS match_id FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS k FROM supplier GROUP BY s_nationkey) ON c_nationkey = s_nationkey")
@@ -159,17 +163,18 @@ def d17_repeated_contents(t: Tables):
     return front_matter.without_repeated_contents(structure.blocks_of(t.documents)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
 
 
-@C.add("SELECT doc_id, source AS symbol FROM documents")
+@C.add("SELECT doc_id, md5(translate(text, 'abcdefgh', 'αβχδεφγη')) AS h FROM documents")
 def f3_symbols(t: Tables):
-    """Known private-use characters around a name are read or left out."""
-    return t.documents.select("doc_id", front_matter.readable_symbols(F.concat(F.lit(chr(0xE004)), "source", F.lit(chr(0xF0E7)))).alias("symbol"))
+    """Texts whose a to h are set in the Symbol font: the private-use characters read as Greek letters."""
+    symbols = F.translate("text", "abcdefgh", "".join(chr(0xF000 + ord(c)) for c in "abcdefgh"))
+    return t.documents.select("doc_id", F.md5(front_matter.readable_symbols(symbols).cast("binary")).alias("h"))
 
 
-@C.add("WITH c AS (SELECT doc_id, md5(text) AS hash, 'v1' AS version FROM documents WHERE doc_id % 3 <> 0), s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE md5(text) END AS hash, 'v1' AS version FROM documents WHERE doc_id % 4 <> 0) SELECT doc_id, hash, version FROM c")
+@C.add("SELECT doc_id, md5(text) AS hash, 'v1' AS version FROM documents")
 def x10_rebuild(t: Tables):
-    """A rebuild from a partial, partly outdated state equals a full build."""
+    """A rebuild from the labelled documents' state, outdated where the label says bad, equals a full build."""
     from textquarry.operators import incremental
 
     rows = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.lit("v1").alias("version"))
-    state = rows.where("doc_id % 4 <> 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("hash")))
-    return incremental.rebuild(rows.where("doc_id % 3 <> 0"), state, lambda x: x, "doc_id")
+    state = rows.join(t.labels, "doc_id").select("doc_id", F.when(F.col("quality") == 0, "").otherwise(F.col("hash")).alias("hash"), "version")
+    return incremental.rebuild(rows, state, lambda x: x, "doc_id")

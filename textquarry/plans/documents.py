@@ -50,10 +50,9 @@ def f16_title_keys(t: Tables):
     return t.documents.select("doc_id", F.md5(T.title_key(F.regexp_extract("text", r"^([^\n]*)", 1)).cast("binary")).alias("k"))
 
 
-@C.add("SELECT doc_id, regexp_replace(regexp_extract(text, '^([^\\n]*)', 1), '\\s+', ' ', 'g') AS lead FROM documents WHERE doc_id % 1 = 0 AND length(regexp_extract(text, '^([^\\n]*)', 1)) <= 28".replace("doc_id % 1 = 0 AND ", ""))
+@C.add(r"WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 28 THEN left(t, 28) || '…' ELSE t END AS lead FROM l")
 def f42_conversation_title(t: Tables):
-    lead = F.regexp_extract("text", r"^([^\n]*)", 1)
-    return t.documents.where(F.length(lead) <= 28).select("doc_id", T.conversation_title(lead).alias("lead"))
+    return t.documents.select("doc_id", T.conversation_title(F.regexp_extract("text", r"^([^\n]*)", 1)).alias("lead"))
 
 
 @C.add("""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
@@ -66,11 +65,11 @@ def f26_overlap(t: Tables):
     return p.select("conv_id", "turn", T.literal_overlap("text", "nxt").cast("long").alias("overlap"))
 
 
-@C.add(r"""WITH k AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS a FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS b FROM documents WHERE n_chars < 2000)
+@C.add(r"""WITH k AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS a FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS b FROM documents)
  SELECT item_id, doc_id, round(length(a) / length(b)::DOUBLE, 6) AS similarity FROM k JOIN d ON contains(b, a)""")
 def f27_containment(t: Tables):
-    """Benchmark items that short documents hold; items meet documents on their rarest-first token, not all pairs."""
-    docs = t.documents.where("n_chars < 2000")
+    """Benchmark items that documents hold; items meet documents on their rarest token, not all pairs."""
+    docs = t.documents
     first = t.benchmark.select("item_id", F.col("text").alias("item"), F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
     rarity = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).join(first.select("term").distinct(), "term", "left_semi")
     df = rarity.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -79,10 +78,10 @@ def f27_containment(t: Tables):
     return met.select("item_id", "doc_id", F.round(T.containment("item", "text"), 6).alias("similarity")).where("similarity > 0")
 
 
-@C.add("""WITH x AS (SELECT b.item_id, left(b.text, 40) AS e, d.text AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), g AS (SELECT item_id, a, substring(e, i::BIGINT, 2) AS p FROM (SELECT *, unnest(range(1, length(e))) AS i FROM x))
+@C.add("""WITH x AS (SELECT b.item_id, b.text AS e, d.text AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), g AS (SELECT item_id, a, substring(e, i::BIGINT, 2) AS p FROM (SELECT *, unnest(range(1, length(e))) AS i FROM x))
  SELECT item_id, round(count(CASE WHEN contains(a, p) THEN 1 END) / count(*)::DOUBLE, 6) AS share FROM g GROUP BY item_id""")
 def f29_bigrams(t: Tables):
-    x = t.benchmark.select("item_id", F.left("text", F.lit(40)).alias("e")).join(t.documents.select("doc_id", F.col("text").alias("a")), F.col("item_id") == F.col("doc_id"))
+    x = t.benchmark.select("item_id", F.col("text").alias("e")).join(t.documents.select("doc_id", F.col("text").alias("a")), F.col("item_id") == F.col("doc_id"))
     return x.select("item_id", F.round(T.bigram_share("e", "a"), 6).alias("share"))
 
 
@@ -202,8 +201,8 @@ def c1_citation_check(t: Tables):
 
 @C.add()
 def c2_quote_align(t: Tables):
-    """Every document quotes its own start in upper case with other spaces: alignment finds the source's words."""
-    basis = t.documents.select(F.col("doc_id").alias("answer_id"), F.col("doc_id").alias("evidence_id"), F.upper(F.regexp_replace(F.left("text", F.lit(80)), " ", "  ")).alias("quote"))
+    """Every document quotes its first line in upper case with other spaces: alignment finds the source's words."""
+    basis = t.documents.select(F.col("doc_id").alias("answer_id"), F.col("doc_id").alias("evidence_id"), F.upper(F.regexp_replace(T.latin_lead("text"), " ", "  ")).alias("quote"))
     return citation.validate_citations(basis, t.documents.select(F.col("doc_id").alias("evidence_id"), "text"))
 
 
