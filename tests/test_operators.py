@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.operators import citation, evaluation, incremental, quality, retrieval, sessions, structure
+from textquarry.operators import chunker, citation, evaluation, incremental, quality, retrieval, sessions, structure
 from textquarry.sources import files, sinks
 from textquarry.streaming import events
 
@@ -29,7 +29,7 @@ def test_functions(spark):
 def test_chunks_cover_blocks(spark):
     text = "第一章 总则\n第一条 " + "内容。" * 500 + "\n第二条 短。\n第二章 附则\n第三条 末。"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 3000)], "doc_id long, text string")
-    rows = structure.chunk_documents(docs).orderBy("doc_id", "chunk_index").collect()
+    rows = chunker.chunk_documents(docs).orderBy("doc_id", "chunk_index").collect()
     assert len({r.chunk_id for r in rows}) == len(rows)
     assert {b for r in rows if r.doc_id == 1 for b in r.block_ids} == set(range(5))
     assert all(r.character_count <= 1200 or r.is_oversized for r in rows) and any(r.is_oversized for r in rows if r.doc_id == 3)

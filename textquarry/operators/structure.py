@@ -1,21 +1,18 @@
-"""Blocks, their classification, and hierarchy-aware chunks.
+"""Blocks, their classification and hierarchy.
 
 Rows keep their order in explicit columns (block_seq, chunk_index). Classification, offsets, hierarchy and filters are
-column expressions and windows by document. Only packing is sequential: ``chunk_documents`` runs it per document in an
-Arrow function, and a document's blocks are the only rows that it holds.
+column expressions and windows by document; ``chunker`` has the steps that depend on state.
 """
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import clean, compact, nfkc, stable_id
+from textquarry.functions.text import nfkc
 
-MAX_CHARS, TARGET_CHARS, SHORT_CHARS = 1200, 600, 200
-OVERLAP_UNITS, OVERLAP_SHARE, OVERLAP_LEAST = 2, 0.2, 120
+MAX_CHARS = 1200
 
 #: A count in Han or Arabic digits.
 COUNT = r"[\d零〇一二两三四五六七八九十百千万]{1,9}"
@@ -116,30 +113,6 @@ def stitch_tables(blocks: DataFrame) -> DataFrame:
     return _islands(b, goes_on).where("width is not null").groupBy("doc_id", "island", "width").agg(F.min("block_seq").alias("block_seq"), F.count(F.lit(1)).alias("rows")).drop("island")
 
 
-def pack_units(units: list[tuple[str, str]], most: int = MAX_CHARS, target: int = TARGET_CHARS, short: int = SHORT_CHARS) -> list[list[int]]:
-    """Groups of unit places: a group ends at the limit, at another path, or, once it has the target size, at a heading."""
-    groups: list[list[int]] = []
-    chars = 0
-    size = lambda t: len("".join(t.split()))
-    for k, (path, text) in enumerate(units):
-        n = size(text)
-        fits = groups and chars + n <= most and units[groups[-1][-1]][0] == path
-        if fits and not (chars >= target and n <= 36):
-            groups[-1].append(k)
-            chars += n
-        else:
-            groups.append([k])
-            chars = n
-    merged: list[list[int]] = []
-    weight = lambda g: sum(size(units[k][1]) for k in g)
-    for g in groups:  # short tails go back, short heads forward
-        if merged and min(weight(g), weight(merged[-1])) < short and weight(g) + weight(merged[-1]) <= most:
-            merged[-1] += g
-        else:
-            merged.append(g)
-    return merged
-
-
 def split_sentences(text: str, most: int = MAX_CHARS, delimiters: str = "。.!?！？；") -> list[str]:
     """A text in pieces of at most ``most`` characters at sentence ends, else at commas; one longer piece stays whole."""
     if len("".join(text.split())) <= most:
@@ -158,37 +131,3 @@ def split_sentences(text: str, most: int = MAX_CHARS, delimiters: str = "。.!?
             out.append(p)
             size = n
     return out
-
-
-CHUNKS = "doc_id long, chunk_index int, section_path string, body_text string, block_ids array<int>, is_oversized boolean, overlap_from int, overlap_text string"
-_BACK = re.compile(r"^(?:前条|前款|上述|其中|但|此外|[（(][一二三四五六七八九十百\d]+[）)]|\d+[.、．]|[a-zà-ÿ])")
-
-
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_CHARS) -> DataFrame:
-    """Chunks of at most ``most`` whitespace-free characters unless marked oversized; every block is in one or more.
-
-    A chunk that refers back carries the last units of the one before it as overlap_text; the body stays as it is.
-    """
-    blocks = with_hierarchy(blocks_of(docs, id_col, text_col)).where(F.trim("text") != "").select("doc_id", "block_seq", F.coalesce("section_path", F.lit("")).alias("section_path"), "text")
-
-    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_seq")
-        units = [(path, piece.strip(), seq) for path, text, seq in zip(rows["section_path"], rows["text"], rows["block_seq"], strict=True) for piece in split_sentences(text, most)]
-        out, last = [], []
-        for n, group in enumerate(pack_units([u[:2] for u in units], most), 1):
-            texts = [units[k][1] for k in group]
-            body = "\n".join(texts)
-            size = len("".join(body.split()))
-            overlap = ""
-            if last and _BACK.match(body):
-                budget = max(OVERLAP_SHARE * size, OVERLAP_LEAST)
-                for t in reversed(last[-OVERLAP_UNITS:]):
-                    if len(t) + len(overlap) <= budget:
-                        overlap = t + ("\n" + overlap if overlap else "")
-            out.append((key[0], n, units[group[0]][0], body, sorted({int(units[k][2]) for k in group}), size > most, n - 1 if overlap else 0, overlap))
-            last = texts
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-    found = blocks.groupBy("doc_id").applyInPandas(chunk, CHUNKS)
-    size = F.length(compact("body_text")).cast("long")
-    return found.withColumn("character_count", size).withColumn("chunk_id", stable_id("doc_id", "section_path", "chunk_index", "body_text")).withColumn("body_text", clean("body_text"))

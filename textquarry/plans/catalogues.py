@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import metadata as M
 from textquarry.functions import text as T
-from textquarry.operators import catalog, evaluation, front_matter, structure
+from textquarry.operators import catalog, chunker, evaluation, front_matter, structure
 from textquarry.sources import sinks
 
 from .base import Catalogue, Tables
@@ -146,7 +146,7 @@ def a15_verdict_report(t: Tables):
 @C.add("SELECT doc_id, blocks, blocks AS covered FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS blocks FROM documents) WHERE blocks > 0")
 def a9_block_coverage(t: Tables):
     """Every block that isn't blank is in some chunk."""
-    chunks = structure.chunk_documents(t.documents)
+    chunks = chunker.chunk_documents(t.documents)
     blocks = structure.blocks_of(t.documents).where(F.trim("text") != "")
     return catalog.coverage(blocks, chunks)
 

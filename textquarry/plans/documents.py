@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.operators import citation, classification, evaluation, quality, sessions, structure
+from textquarry.operators import chunker, citation, classification, evaluation, quality, sessions, structure
 from textquarry.sources import files
 
 from .base import Catalogue, Tables
@@ -143,12 +143,32 @@ def d25_merge(t: Tables):
 
 @C.add()
 def d8_unit_pack(t: Tables):
-    return structure.chunk_documents(t.documents).select("doc_id", "chunk_index", "chunk_id", "character_count", "is_oversized", "overlap_from")
+    return chunker.chunk_documents(t.documents).select("doc_id", "chunk_index", "chunk_id", "character_count", "is_oversized", "overlap_from")
+
+
+@C.add(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS characters, true AS within FROM d WHERE t <> ''""")
+def d5_split_is_lossless(t: Tables):
+    """The chunks of a document hold all of its characters, and none is over the limit unless it is marked."""
+    c = chunker.chunk_documents(t.documents)
+    return c.groupBy("doc_id").agg(F.sum("character_count").alias("characters"), F.bool_and((F.col("character_count") <= structure.MAX_CHARS) | F.col("is_oversized")).alias("within"))
+
+
+@C.add()
+def d10_overlap(t: Tables):
+    """Chunks that need the one before them, why, and what of it they carry."""
+    return chunker.chunk_documents(t.documents).where("overlap_reason <> ''").select("doc_id", "chunk_index", "overlap_reason", "overlap_from", "overlap_text", "parent_context")
+
+
+@C.add(r"SELECT doc_id, source AS prefix FROM documents WHERE trim(text) <> ''")
+def d13_context_prefix(t: Tables):
+    """The source stands for the title; it is named in no text, so each document's first chunk gets it."""
+    c = chunker.chunk_documents(t.documents, title_col="source").where("chunk_index = 1")
+    return c.select("doc_id", F.split("context_prefix", " / ")[0].alias("prefix"))
 
 
 @C.add()
 def d6_sentence_pack(t: Tables):
-    return structure.chunk_documents(t.documents, most=400).select("doc_id", "chunk_index", "character_count")
+    return chunker.chunk_documents(t.documents, most=400).select("doc_id", "chunk_index", "character_count")
 
 
 # Quality, over documents as chunks of their source
