@@ -1,4 +1,7 @@
-"""Aggregations, joins, windows, sets and sorts as SQL over the tables; one text for both engines where dialects agree."""
+"""Aggregations, joins, windows, sets and sorts as SQL over the tables; one text for both engines where dialects agree.
+
+``library`` has the operators for most of them; there the SQL here is the check.
+"""
 from __future__ import annotations
 
 from .base import Catalogue
@@ -10,17 +13,10 @@ C.sql("a1_document_rollup", """SELECT source AS document_id, count(*) AS chunk_c
 C.sql("a3_document_frequency", """SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, explode(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*', 0)) AS term FROM {documents}) GROUP BY term HAVING count(*) > 1""",
       """SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')) AS term FROM documents) GROUP BY term HAVING count(*) > 1""")
 _KEY_S, _KEY_D = r"sha2(regexp_replace(text, '(?U)\\s+', ''), 256)", r"sha256(regexp_replace(text, '\s+', '', 'g'))"
-C.sql("a6_duplicate_audit", f"""SELECT key, count(*) AS n, CASE WHEN count(DISTINCT source) > 1 THEN 'review' ELSE 'overlap' END AS status, array_join(transform(sort_array(collect_list(doc_id)), x -> CAST(x AS STRING)), ' | ') AS members FROM (SELECT {_KEY_S} AS key, doc_id, source FROM {{documents}}) GROUP BY key HAVING count(*) > 1""",
-      f"""SELECT key, count(*) AS n, CASE WHEN count(DISTINCT source) > 1 THEN 'review' ELSE 'overlap' END AS status, string_agg(doc_id::VARCHAR, ' | ' ORDER BY doc_id) AS members FROM (SELECT {_KEY_D} AS key, doc_id, source FROM documents) GROUP BY key HAVING count(*) > 1""")
-C.sql("a7_body_hash", f"""SELECT source, sha2(array_join(transform(sort_array(collect_list(struct(doc_id, key))), x -> x.key), ''), 256) AS body_hash FROM (SELECT source, doc_id, {_KEY_S} AS key FROM {{documents}}) GROUP BY source""",
-      f"""SELECT source, sha256(string_agg(key, '' ORDER BY doc_id)) AS body_hash FROM (SELECT source, doc_id, {_KEY_D} AS key FROM documents) GROUP BY source""")
 C.sql("a8_audit_summary", f"""SELECT count(*) AS groups, count(CASE WHEN s > 1 THEN 1 END) AS review_groups, count(CASE WHEN s = 1 THEN 1 END) AS overlap_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups FROM (SELECT count(*) AS n, count(DISTINCT source) AS s FROM (SELECT {_KEY_S} AS key, source FROM {{documents}}) GROUP BY key HAVING count(*) > 1)""",
       f"""SELECT count(*) AS groups, count(CASE WHEN s > 1 THEN 1 END) AS review_groups, count(CASE WHEN s = 1 THEN 1 END) AS overlap_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups FROM (SELECT count(*) AS n, count(DISTINCT source) AS s FROM (SELECT {_KEY_D} AS key, source FROM documents) GROUP BY key HAVING count(*) > 1)""")
 C.sql("a9_coverage", """SELECT d.source, count(*) AS source_blocks, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS missing, round(count(l.doc_id) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source""")
 C.sql("a11_length_stats", """SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, CAST(median(n_chars) AS DOUBLE) AS median, max(n_chars) AS largest, count(CASE WHEN n_chars > 1200 THEN 1 END) AS oversized FROM {documents} GROUP BY lang""")
-C.sql("a12_topic_scores", """SELECT doc_id, the_n, de_n, que_n, CASE WHEN greatest(the_n, de_n, que_n) = 0 THEN '' WHEN the_n >= de_n AND the_n >= que_n THEN 'the' WHEN de_n >= que_n THEN 'de' ELSE 'que' END AS topic FROM (SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS the_n, CAST((length(text) - length(replace(text, 'de', ''))) / 2 AS BIGINT) AS de_n, CAST((length(text) - length(replace(text, 'que', ''))) / 3 AS BIGINT) AS que_n FROM {documents})""")
-C.sql("a14_repeated_margins", """SELECT source, line, count(DISTINCT doc_id) AS n FROM (SELECT source, doc_id, explode(array_distinct(array(element_at(split(text, '\\n'), 1), element_at(split(text, '\\n'), -1)))) AS line FROM {documents}) GROUP BY source, line HAVING count(DISTINCT doc_id) >= 2""",
-      """SELECT source, line, count(DISTINCT doc_id) AS n FROM (SELECT source, doc_id, unnest(list_distinct([string_split(text, chr(10))[1], string_split(text, chr(10))[-1]])) AS line FROM documents) GROUP BY source, line HAVING count(DISTINCT doc_id) >= 2""")
 _VERDICT = "SELECT d.source, CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'correct' ELSE 'partial' END AS verdict FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id"
 C.sql("a15_verdict_pivot", f"""SELECT source, count(CASE WHEN verdict = 'correct' THEN 1 END) AS correct, count(CASE WHEN verdict = 'partial' THEN 1 END) AS partial, count(CASE WHEN verdict = 'rejected' THEN 1 END) AS rejected, round(100 * count(CASE WHEN verdict = 'correct' THEN 1 END) / CAST(count(*) AS DOUBLE), 2) AS pct_correct FROM ({_VERDICT}) GROUP BY source""")
 C.sql("a15_verdict_rollup", f"""SELECT coalesce(source, '(all)') AS source, coalesce(verdict, '(all)') AS verdict, count(*) AS n FROM ({_VERDICT}) GROUP BY ROLLUP (source, verdict)""")
@@ -68,7 +64,7 @@ _lines("w10_offsets", """SELECT doc_id, line_no, CAST(coalesce(sum(length(line)
 _lines("w11_sticky_flag", """SELECT doc_id, line_no, max(CASE WHEN length(line) < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS after_heading FROM b""")
 C.sql("w16_latest_n", """SELECT conv_id, turn, rn FROM (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS rn FROM {conversations}) WHERE rn <= 3""")
 C.sql("w17_prev_user", """SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM {conversations}""")
-_lines("w18_caption", """SELECT doc_id, line_no, CASE WHEN length(p) <= 100 THEN md5(p) ELSE '' END AS caption FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM b) WHERE line LIKE '%|%' AND p IS NOT NULL""")
+_lines("w18_caption", """SELECT doc_id, line_no, md5(CASE WHEN length(p) <= 100 THEN p ELSE '' END) AS caption FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM b) WHERE line LIKE '%|%' AND p IS NOT NULL""")
 _lines("w19_first_match", """SELECT doc_id, min(line_no) AS line_no FROM b WHERE line LIKE '%License%' OR line LIKE '%licensed%' OR line LIKE '%rights reserved%' GROUP BY doc_id""")
 
 # Sorts and caps
@@ -77,7 +73,6 @@ C.sql("t7_priority_sort", """SELECT doc_id, CAST(row_number() OVER (PARTITION BY
 C.sql("t8_missing_last", """SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '2%' THEN 2 END, 9999), o_orderkey) AS BIGINT) AS position FROM {orders}""")
 
 # Sets
-C.sql("u2_ordered_union", """SELECT doc_id, src, CAST(row_number() OVER (PARTITION BY b ORDER BY src, doc_id) AS BIGINT) AS position FROM (SELECT doc_id, min(src) AS src, doc_id % 10 AS b FROM (SELECT doc_id, 0 AS src FROM {labels} UNION ALL SELECT doc_id, 1 FROM {documents}) GROUP BY doc_id)""")
 C.sql("u4_array_except", """SELECT source, CAST(size(array_except(a, b)) AS BIGINT) AS missing, CAST(size(array_intersect(a, b)) AS BIGINT) AS shared FROM (SELECT source, collect_set(d.doc_id) AS a, collect_set(l.doc_id) AS b FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source)""",
       """SELECT source, count(*) - count(l.doc_id) AS missing, count(l.doc_id) AS shared FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""")
 C.sql("u5_exact_set", """SELECT (SELECT count(*) FROM (SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels})) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM {labels} EXCEPT SELECT doc_id FROM {documents})) AS only_right, (SELECT count(*) FROM {labels}) AS right_rows""")
@@ -97,4 +92,3 @@ C.sql("ext_watermark_dedup", """SELECT user_id, event_type, min(event_id) AS eve
 _OLD = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN md5(concat(text, '!')) ELSE md5(text) END AS hash, 'v1' AS version FROM {documents} WHERE doc_id % 7 <> 0"
 C.sql("x10_incremental_plan", f"""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'stale' WHEN n.hash = o.hash AND n.version = o.version THEN 'reused' ELSE 'changed' END AS status FROM (SELECT doc_id, md5(text) AS hash, 'v1' AS version FROM {{documents}} WHERE doc_id % 11 <> 0) n FULL OUTER JOIN ({_OLD}) o ON n.doc_id = o.doc_id""")
 C.sql("j17_vector_reuse", f"""SELECT CASE WHEN o.doc_id IS NULL THEN 'new_embedded' WHEN o.hash = n.hash THEN 'reused' ELSE 'changed_reembedded' END AS status, count(*) AS n FROM (SELECT doc_id, md5(text) AS hash FROM {{documents}}) n LEFT JOIN ({_OLD}) o ON n.doc_id = o.doc_id GROUP BY 1""")
-C.sql("k10_stale_artifacts", """SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels}) l ON d.doc_id = l.doc_id WHERE d.lang = 'fr'""", """SELECT doc_id FROM documents WHERE lang = 'fr' AND doc_id NOT IN (SELECT doc_id FROM labels)""")
