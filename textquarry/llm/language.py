@@ -4,11 +4,13 @@ Features are the hashed character 1- to 3-grams of a text's words (with a border
 by their spread in the training rows. All classifiers are linear in the counts, so a text's score is the sum of its words'
 scores; each distinct word is scored once and kept in a bounded cache, and whole texts are read.
 
-Training takes labelled rows only, at most about ``SAMPLE`` a language: a hash of doc_id below a threshold that follows from
+Training takes labelled rows only, at most about ``SAMPLE`` a language and ``SAMPLE_ALL`` in all: a hash of doc_id below a threshold that follows from
 the language's count. Executors turn them into feature vectors of ``DIMENSIONS`` numbers; only these reach the driver.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; rows with null lang are not learned from; no
-labelled row at all makes every text ``und``; equal texts get equal results. Other columns pass through.
+Defined results: null text, or text without a letter, is ``und`` with score 0; a text of any length is read whole; equal margins go
+to the first family and language by name; rows with null lang are not learned from; no
+labelled row at all makes every text ``und``; equal texts get equal results. Other columns pass through, whatever
+their names; one of the result's name is replaced.
 """
 from __future__ import annotations
 
@@ -28,6 +30,8 @@ from .common import bounded_batches, holds_cache, table
 DIMENSIONS = 4096
 #: Labelled rows a language that the classifiers are fitted on, about.
 SAMPLE = 500
+#: And about so many in all: what bounds the driver's memory (16 KiB a row) where languages are many.
+SAMPLE_ALL = 8_000
 #: The cache starts anew at so many words; some 200 bytes each.
 KEPT_WORDS = 300_000
 UNKNOWN = "und"
@@ -177,6 +181,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model.fit(np.zeros((0, DIMENSIONS)), [])
+    sample = min(sample, max(1, SAMPLE_ALL // len(counts)))
     share = F.element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
     taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
 

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,10 +88,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def outside(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What ``spans``, in order of their starts, leave of a range."""
-    for s, e in spans:
-        if e > start and s < end:
+def outside(start: int, end: int, spans: list[tuple[int, int]], starts: list[int], reach: list[int]) -> Iterator[tuple[int, int]]:
+    """What ``spans``, in order of their starts, leave of a range; reach: the furthest end up to each of them."""
+    for s, e in spans[bisect_right(reach, start) : bisect_left(starts, end)]:
+        if e > start:
             if s > start:
                 yield start, s
             start = max(start, e)
@@ -114,13 +116,14 @@ def scan(text: str | None, window: int = WINDOW, allow: tuple[re.Pattern, ...] =
         return []
     found = base_spans(text)
     base = [(s, e) for s, _, e in found]
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     own = lambda run: next(b for _, c, b in CLASSES if c.fullmatch(run))
     candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{window},}}")
     for m in candidate.finditer(text):
         if any(a.fullmatch(m[0]) for a in allow):
             continue
         bits, hits = own(m[0]), []
-        for start, end in outside(m.start(), m.end(), base):
+        for start, end in outside(m.start(), m.end(), base, starts, reach):
             hits += windows(text, start, end, bits, window)
             for part in PART.finditer(text, start, end):
                 if part.end() - part.start() >= window and not any(a.fullmatch(part[0]) for a in allow):

@@ -10,7 +10,8 @@ and then renames it, so a repeated task leaves the same file. Shards go to the s
 systems.
 
 Defined results: null text counts as empty, the end id alone; null doc_ids come first; rows with one doc_id are ordered by
-text; an empty table gives no records.
+text; equal rows are records of their own; a text of any length is encoded whole; other columns are left out, whatever their
+names; an empty table gives no records.
 """
 from __future__ import annotations
 
