@@ -45,3 +45,23 @@ def test_pipeline(spark, tmp_path):
     left = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     assert set(range(80)) <= left and not {201, 202, 203} & left
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_dedup_keeps_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, b), (None, c), (None, d), (2, e), (2, e), (3, e.upper()), (4, a + " more"), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __key long")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, d), (2, e)], key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_found_languages_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "the of and", "en"), (2, "der die und", "de")], "doc_id long, text string, lang string")
+    plan = L.keep_identified(docs, L.fit(docs, F.lit(True)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

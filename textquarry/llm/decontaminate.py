@@ -213,7 +213,7 @@ def _matcher(shared: list, kind):
                 items.append(sorted(x for x in i if x is not None))
             yield pd.DataFrame({"n_words": n_words, "spans": spans, "items": items})
 
-    return matched
+    return matched.asNondeterministic()  # so that a filter on the result doesn't make Spark evaluate it twice
 
 
 def find_contamination(

@@ -207,7 +207,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score"])
 
-    return docs.withColumn(out_col, predicted(F.col(text_col)))
+    # Told apart from plain functions, so that a filter on the result doesn't make Spark evaluate it twice.
+    return docs.withColumn(out_col, predicted.asNondeterministic()(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
