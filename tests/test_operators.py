@@ -197,3 +197,30 @@ def test_fuzzy_titles(spark):
             used.add(free[0][1])
             want.append((i, free[0][1], -free[0][0]))
     assert sorted(map(tuple, catalog.fuzzy_titles(*dfs).collect())) == want and (60, 70) in {w[:2] for w in want}
+
+
+def test_grading_forms():
+    assert evaluation.canonical("必须　ＡＢ c，不可以") == "应当abc,不得"
+    assert evaluation.question_type("是否应当？以及何时？", "x") == "compound" and evaluation.question_type("是否应当？", "x") == "binary"
+    good = {"conclusion": "c", "reasoning": "r", "basis": [{"evidence_id": "e", "quote": "q"}]}
+    assert evaluation.structure_issues(good) == []
+    assert evaluation.structure_issues({"conclusion": " ", "basis": [{}, 1]}) == ["reasoning is missing", "conclusion is empty", "basis 0 has no id or quote", "basis 1 has no id or quote"]
+    assert evaluation.structure_issues([]) == ["answer is no object"]
+
+
+def test_bundle_gates(spark):
+    import pytest
+
+    from textquarry.operators import corpus as O
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
+    manifest = O.input_fingerprint(docs, "id", F.col("text")).first().asDict()
+    O.check_bundle(docs, vectors, manifest, "id", F.col("text"), 2)
+    other = docs.withColumn("text", F.upper("text"))
+    for args in ((other, vectors, 2), (docs, vectors.where("id = 1"), 2), (docs, vectors.unionByName(vectors), 2), (docs, vectors, 3)):
+        with pytest.raises(ValueError):
+            O.check_bundle(args[0], args[1], manifest, "id", F.col("text"), args[2])
+    for bad in (lambda: O.referenced(docs, docs.where("id = 1"), "id"), lambda: O.union_unique([docs, docs], "id"), lambda: O.selected(docs, "id", spark.createDataFrame([(9,)], "id long"))):
+        with pytest.raises(ValueError):
+            bad()

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +57,8 @@ def facts(truth: str) -> list[str]:
 
 def question_type(question: str | None, truth: str | None) -> str:
     q, numeric = (question or "").lower(), bool(quantities(truth))
+    if len(re.findall(r"[?？]", q)) > 1 or re.search(r"(?:以及|并且|同时|\band (?:what|which|how|who|when|is|can|may|must)\b)", q):
+        return "compound"
     binary = bool(re.search(r"是否|能否|可否|吗[？?]|^(?:is|are|can|may|does|do|must)\b", q))
     if binary:
         return "binary_numeric" if numeric else "binary"
@@ -79,7 +82,7 @@ def judge(answer: str | None, truth: str | None, question: str | None) -> tuple[
         coverage = max(coverage, HALF)
     p, q = polarity(truth), polarity(answer)
     agrees = not p or not q or p == q
-    if not agrees and kind.startswith("binary"):
+    if not agrees and kind.startswith(("binary", "compound")):
         return ("partial" if coverage >= HALF else "incorrect"), coverage, False, kind
     if coverage >= FULL or (kind == "binary" and p and p == q and coverage >= HALF):
         return "correct", coverage, agrees, kind
@@ -109,3 +112,29 @@ def lifecycle(answers: DataFrame) -> DataFrame:
 def verdict_report(judged: DataFrame, sections: DataFrame) -> DataFrame:
     """Counts by section and verdict with all totals."""
     return judged.join(sections, "question_id").rollup("section", "verdict").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("section", F.lit("(all)")).alias("section"), F.coalesce("verdict", F.lit("(all)")).alias("verdict"), "n")
+
+
+def canonical(text: str | None) -> str:
+    """NFKC, lower case, no white space, and one word for modal words of equal force; longer words are replaced first."""
+    t = "".join(unicodedata.normalize("NFKC", text or "").lower().split())
+    for word, _ in sorted(MODAL_FORMS.items(), key=lambda x: -len(x[0])):
+        t = t.replace(word, MODAL_FORMS[word])
+    return t
+
+
+#: Modal words that oblige, allow or forbid alike, by the word that stands for them.
+MODAL_FORMS = {"必须": "应当", "须": "应当", "禁止": "不得", "不可以": "不得", "不应": "不得", "不能": "不得", "能够": "可以"}
+STRUCTURE = (("conclusion", str), ("reasoning", str), ("basis", list))
+
+
+def structure_issues(answer: object) -> list[str]:
+    """What is wrong with an answer's form: fields that are missing, empty or of another kind, and basis entries without id or quote."""
+    if not isinstance(answer, dict):
+        return ["answer is no object"]
+    out = [f"{name} is missing" for name, kind in STRUCTURE if name not in answer]
+    out += [f"{name} is no {kind.__name__}" for name, kind in STRUCTURE if name in answer and not isinstance(answer[name], kind)]
+    out += [f"{name} is empty" for name, kind in STRUCTURE if kind is str and isinstance(answer.get(name), str) and not answer[name].strip()]
+    for k, entry in enumerate(answer["basis"] if isinstance(answer.get("basis"), list) else []):
+        if not isinstance(entry, dict) or not entry.get("evidence_id") or not entry.get("quote"):
+            out.append(f"basis {k} has no id or quote")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import numbers
 from textquarry.functions import text as T
 from textquarry.operators import corpus as O
-from textquarry.operators import structure
+from textquarry.operators import classification, review, structure
 
 from . import relational
 from .base import Catalogue, Tables
@@ -382,3 +382,42 @@ def q31_metadata_mismatch(t: Tables):
 @C.add("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def k10_stale_artifacts(t: Tables):
     return O.pending(t.documents.select("doc_id"), t.labels, "doc_id")
+
+
+# Review
+def _documents_as_chunks(t: Tables):
+    return t.documents.select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("body_text"))
+
+
+_RULES = {"noise_markup": ("major", "</?(?:p|div|span|table|tr|td)\\b[^>]*>"), "noise_leader_dots": ("major", "\\.{6,}|…{3,}"), "noise_blank_form": ("major", "_{6,}"), "noise_repeated_sign": ("major", "!{10,}|[?]{10,}|[*]{10,}|#{10,}|={10,}|~{10,}|-{10,}"), "noise_replacement_character": ("critical", "�"), "noise_control_character": ("critical", "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]"), "noise_field_code": ("critical", "(?i)\\b(?:PAGEREF|MERGEFIELD|SEQ Table)\\b")}
+
+
+@C.add(" UNION ALL ".join(f"""SELECT '{name}' AS "check", '{severity}' AS severity, source AS document_id, doc_id AS chunk_id FROM documents WHERE regexp_matches(text, '{pattern}')""" for name, (severity, pattern) in _RULES.items()))
+def q33_noise(t: Tables):
+    return review.noise(_documents_as_chunks(t))
+
+
+@C.add("""SELECT 'possible_split_enumeration' AS "check", 'minor' AS severity, document_id, chunk_id FROM (SELECT conv_id AS document_id, conv_id * 1000 + turn AS chunk_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations) WHERE regexp_matches(text, '[;,]\\s*$') AND regexp_matches(nx, '^\\s*(?:[(]\\s*\\d{1,3}\\s*[)]|\\d{1,3}[.])')""")
+def q22_split_enumeration(t: Tables):
+    c = t.conversations.select(F.col("conv_id").alias("document_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("body_text"))
+    return review.split_enumerations(c)
+
+
+@C.add(r"""SELECT 'duplicate_in_document' AS "check", 'minor' AS severity, document_id, chunk_id FROM (SELECT source AS document_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source, regexp_replace(text, '\s+', '', 'g') ORDER BY doc_id) AS n FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) >= 50) WHERE n > 1""")
+def q34_repeated_bodies(t: Tables):
+    return review.repeated_bodies(_documents_as_chunks(t))
+
+
+@C.add("""SELECT 'missing_structured_document' AS "check", 'critical' AS severity, doc_id AS document_id, doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def q29_unknown_sources(t: Tables):
+    """Labelled documents are stored; each chunk names its document's first block."""
+    chunks = t.documents.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.array(F.lit(0)).alias("block_ids"))
+    stored = t.labels.select(F.col("doc_id").alias("document_id")).distinct()
+    return review.unknown_sources(chunks, stored, stored.withColumn("block_seq", F.lit(0)))
+
+
+@C.add("""SELECT d.doc_id, 'quality' AS dimension, CASE WHEN l.quality = 1 THEN 'good' WHEN d.lang IS NOT NULL THEN d.lang ELSE 'none' END AS label, CASE WHEN l.quality = 1 THEN 'A' WHEN d.lang IS NOT NULL THEN 'B' ELSE '' END AS level, l.quality IS DISTINCT FROM 1 AND d.lang IS NULL AS needs_review FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def l5_carried_labels(t: Tables):
+    """Labels of good quality are a rule's, the languages are the baseline's."""
+    own = t.labels.where("quality = 1").select("doc_id", F.lit("quality").alias("dimension"), F.lit("good").alias("label"))
+    return classification.carried_labels(own, t.documents.select("doc_id", F.lit("quality").alias("dimension"), F.col("lang").alias("label")), {"quality": "none"})
