@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.text import compact
 
-MAX_CHARS = 1200
+MAX_CHARS, END_CHARS = 1200, 200
 SEVERITIES = ("critical", "major", "minor")
 HEADING_LINE = r"^(?:第.{1,12}[编篇章节部分].{0,60}|附件.{0,60}|#{1,6} .*)$"
 PAGE_LINE = r"(?i)^\s*(?:-\s*\d+\s*-|\d+\s*/\s*\d+|第\s*\d+\s*页)\s*$"
@@ -56,14 +56,17 @@ def all_issues(chunks: DataFrame, documents: DataFrame | None = None, most: int
     parts = [_row_issues(chunks, most)]
     repeated = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id")).where("n > 1")
     parts.append(_issue(repeated, "chunk_id_unique", "critical"))
-    key = chunks.where((F.length(compact("body_text")) >= 50) & (F.coalesce("overlap_source_chunk_id", F.lit("")) == "")).withColumn("h", F.sha2(compact("body_text"), 256))
+    key = chunks.where(F.coalesce("overlap_source_chunk_id", F.lit("")) == "").select("document_id", "chunk_id", "chunk_index", compact("body_text").alias("k"))
+    key = key.select("document_id", "chunk_id", "chunk_index", F.length("k").alias("n"), F.sha2("k", 256).alias("h")).where("n >= 50")
     again = key.withColumn("k", F.row_number().over(Window.partitionBy("document_id", "h").orderBy("chunk_index"))).where("k > 1")
     parts.append(_issue(again, "duplicate_chunk_body", "major"))
     parts.append(_issue(chunks.withColumn("k", F.row_number().over(order)).where("k <> chunk_index"), "chunk_order", "critical"))
     source = chunks.select(F.col("chunk_id").alias("source_id"), F.col("document_id").alias("source_doc")).distinct()
     traced = chunks.where(F.coalesce("overlap_source_chunk_id", F.lit("")) != "").join(source, (F.col("overlap_source_chunk_id") == F.col("source_id")) & (F.col("document_id") == F.col("source_doc")), "left_anti")
     parts.append(_issue(traced, "overlap_trace", "major"))
-    opens = chunks.withColumn("after", F.lead("body_text").over(order)).where(F.col("body_text").rlike(r"[:：]\s*$") & F.col("after").rlike(r"^\s*(?:[（(]\S{1,3}[）)]|\d+[.、])"))
+    # Only the ends of the texts go through the window; more white space than that counts as text.
+    ends = chunks.select("document_id", "chunk_id", "chunk_index", F.right("body_text", F.lit(END_CHARS)).alias("tail"), F.left("body_text", F.lit(END_CHARS)).alias("head"))
+    opens = ends.withColumn("after", F.lead("head").over(order)).where(F.col("tail").rlike(r"[:：]\s*$") & F.col("after").rlike(r"^\s*(?:[（(]\S{1,3}[）)]|\d+[.、])"))
     parts.append(_issue(opens, "incomplete_enumeration", "major"))
     if "file_name" in chunks.columns:
         mixed = chunks.groupBy("document_id").agg(F.countDistinct("file_name").alias("n"), F.min("chunk_id").alias("chunk_id")).where("n > 1")
