@@ -67,21 +67,22 @@ def vector(text: str | None) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Linear SVM (hinge loss) by dual coordinate descent; y is -1 or 1. The bias is a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    # The bias is kept beside w, and sums are taken row by row, so that the rows aren't copied.
+    w, bias, alpha, norm = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1
     rng = np.random.default_rng(0)
     weight = c * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
             old = alpha[i]
-            alpha[i] = min(max(old - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), weight[i])
+            alpha[i] = min(max(old - (y[i] * (x[i] @ w + bias) - 1) / norm[i], 0.0), weight[i])
             if alpha[i] != old:
                 w += (alpha[i] - old) * y[i] * x[i]
+                bias += (alpha[i] - old) * y[i]
                 moved = max(moved, abs(alpha[i] - old))
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 @dataclass
@@ -104,9 +105,10 @@ class Model:
         pairs = [(f, a, b) for f, of in enumerate(languages) for a, b in combinations(range(len(of)), 2)]
         if not known:
             return cls([], [], [], np.zeros((DIMENSIONS, 0)), np.zeros(0))
-        scale = 1 / np.maximum(x.std(0), 1e-4)
-        scale /= np.sqrt(DIMENSIONS)
-        z, lang = x * scale, np.array(langs)
+        mean = x.mean(0, dtype=np.float64)
+        scale = 1 / np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0)), 1e-4)
+        scale = (scale / np.sqrt(DIMENSIONS)).astype(np.float32)
+        z, lang = (x * scale).astype(np.float32, copy=False), np.array(langs)
         fam = np.array([families.index(FAMILY_OF.get(k, k)) for k in langs])
         fits = []
         for f in range(len(families)):
@@ -189,10 +191,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "x": [vector(t).tobytes() for t in batch["text"]]})
 
-    got = taken.mapInPandas(vectors, "lang string, x binary").collect()
-    got = sorted((r["lang"], bytes(r["x"])) for r in got)
-    x = np.array([np.frombuffer(v, np.float32) for _, v in got], np.float64).reshape(len(got), DIMENSIONS)
-    return Model.fit(x, [k for k, _ in got])
+    got = sorted((r["lang"], bytes(r["x"])) for r in taken.mapInPandas(vectors, "lang string, x binary").collect())
+    langs = [k for k, _ in got]
+    x = np.empty((len(got), DIMENSIONS), np.float32)
+    for k in range(len(got) - 1, -1, -1):  # a row leaves the list as it enters the matrix
+        x[k] = np.frombuffer(got.pop()[1], np.float32)
+    return Model.fit(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
