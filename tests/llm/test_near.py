@@ -1,6 +1,8 @@
 """Near groups against the exact Jaccard similarity of all pairs."""
 import random
 
+import numpy as np
+
 from textquarry.llm import near as N
 
 
@@ -64,3 +66,35 @@ def test_budget_loses_no_near_pair():
             x, y = (N.simhash(N.hashes(N.shingles(t))) for t in (a, b))
             worst = max(worst, ((x ^ y) & (1 << 64) - 1).bit_count())
     assert 8 < worst <= N.WRONG
+
+
+def test_trie_finds_the_pairs(spark, monkeypatch):
+    """Pairs come from the binary-trie self-join: of all fingerprints within its bits, and of the bands' buckets."""
+    seen = set()
+    rng = random.Random(8)
+    points = np.sort(np.array([rng.getrandbits(64) ^ 0 for _ in range(30)] + [0xFFFF ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(40)], np.uint64))
+    near = {(i, j) for j in range(70) for i in range(j) if int(points[i] ^ points[j]).bit_count() <= N.WRONG}
+    for most in (4, 10**6):
+        found = N.Candidates(np.full(70, 9), np.arange(70), 0.8, most)
+        got = {p for x, y in N.trie_links(points, N.WRONG, into=found) for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)}
+        seen.add((got == near, found.cut))
+        assert got <= near
+    assert seen == {(False, True), (True, False)}
+
+
+def test_no_link_is_left_to_a_leader(spark, monkeypatch):
+    """A bucket of many nodes where each is like a few alone: chains that few candidates a node don't show at once."""
+    monkeypatch.setattr(N, "bands", lambda h: np.zeros(N.BANDS, np.int64))
+    monkeypatch.setattr(N, "PARTNERS", 1)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(3):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(12):
+            texts.append(" ".join(w))
+            w = w[4:] + [f"w{rng.randrange(10**6)}" for _ in range(4)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.component_id for r in N.near_groups(docs, "id").collect()}
+    want = brute(texts)
+    assert len(set(want)) == 3
+    assert {(i, j) for i in got for j in range(i) if got[i] == got[j]} == {(i, j) for i in got for j in range(i) if want[i] == want[j]}

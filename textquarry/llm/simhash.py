@@ -103,15 +103,16 @@ class _Forest:
         return self.roots
 
 
-def trie_links(points: np.ndarray, bits: int = BITS, leaf: int = LEAF, frontier: int = FRONTIER) -> list[tuple[int, int]]:
-    """Spanning forest, as places, of the links of distinct uint64 fingerprints in ascending order.
+def trie_links(points: np.ndarray, bits: int = BITS, leaf: int = LEAF, frontier: int = FRONTIER, into=None) -> list[tuple[int, int]]:
+    """Spanning forest, as places, of the links of uint64 fingerprints in ascending order.
 
-    ``leaf`` and ``frontier`` decide how the work is cut, not which fingerprints are linked in the end.
+    ``leaf`` and ``frontier`` decide how the work is cut, not which fingerprints are linked in the end. ``into`` takes the
+    links in place of a forest: by ``link``, with the roots ``current`` to it, and ``closed`` places that need no more.
     """
     m = len(points)
-    if m == 2:
+    if m == 2 and into is None:
         return [(0, 1)] if int(points[0] ^ points[1]).bit_count() <= bits else []
-    forest = _Forest(m)
+    forest = _Forest(m) if into is None else into
 
     def direct(a0: np.ndarray, b0: np.ndarray, na: np.ndarray, nb: np.ndarray) -> None:
         """Compares all members of the ranges from a0 and b0."""
@@ -167,6 +168,8 @@ def trie_links(points: np.ndarray, bits: int = BITS, leaf: int = LEAF, frontier:
         first, roots = starts[d], forest.current()
         low, high = np.minimum.reduceat(roots, first), np.maximum.reduceat(roots, first)
         open_ = ~((low[left] == high[left]) & (low[right] == high[right]) & (low[left] == low[right]))
+        if into is not None:
+            open_ &= ~np.logical_and.reduceat(into.closed(), first)[left]
         left, right, wrong = left[open_], right[open_], wrong[open_]
         count = np.diff(np.append(first, m))
         small = (count[left] * count[right] <= leaf) | (d == 64)
@@ -204,14 +207,29 @@ def _dealt(points: DataFrame, bits: int, blocks: int, split: int) -> DataFrame:
     return dealt.join(large, "bucket", "left_anti").select("bucket", "fp").unionByName(crowded)
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in the order of the first one, cut where its value changes."""
+    rest: list[list[np.ndarray]] = []  # the last bucket so far
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        if rest and rest[0][0][0] == columns[0][-1]:  # all of it goes on with the bucket at hand
+            rest.append(columns)
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        yield [np.concatenate(c) for c in zip(*rest, [c[:last] for c in columns], strict=True)]
+        rest = [[c[last:] for c in columns]]
+    if rest:
+        yield [np.concatenate(c) for c in zip(*rest, strict=True)]
+
+
 def links(points: DataFrame, bits: int = BITS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) between fingerprints that connect all that are within ``bits`` of each other. points: distinct fp, stored."""
     dealt = _dealt(points, bits, blocks, split)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket so far
-
-        def out(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        for bucket, fp in whole_buckets(batches):
             a, b = [], []
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(starts[1:], len(bucket))
@@ -220,21 +238,7 @@ def links(points: DataFrame, bits: int = BITS, blocks: int = BLOCKS, split: int
                 for x, y in trie_links(members, bits):
                     a.append(members[x])
                     b.append(members[y])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(bucket):
-                continue
-            if rest and rest[0][0][0] == bucket[-1]:  # all of it goes on with the bucket at hand
-                rest.append((bucket, fp))
-                continue
-            last = int(np.searchsorted(bucket, bucket[-1], "left"))
-            done = [*rest, (bucket[:last], fp[:last])]
-            yield out(np.concatenate([b for b, _ in done]), np.concatenate([f for _, f in done]))
-            rest = [(bucket[last:], fp[last:])]
-        if rest:
-            yield out(np.concatenate([b for b, _ in rest]), np.concatenate([f for _, f in rest]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], ["a", "b"])
 
     # Sorted by bucket, so a task holds one bucket and one batch at a time.
     return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(joined, "a long, b long")
