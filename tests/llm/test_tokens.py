@@ -32,6 +32,41 @@ def test_encoder_is_the_library(name, monkeypatch):
     assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letter_runs_go_to_the_model(name, monkeypatch):
+    """All Latin letters, alone and in runs, as the library has them; none goes through the library's steps for texts."""
+    from textquarry.llm import encoder as module
+
+    own, library = module.Encoder(name), Tokenizer.from_file(tokenizer_path(name))
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x250) if module._WORD(chr(c))]
+    some = [*letters, *(" ".join("".join(rng.choice(letters[: rng.choice((52, 400))]) for _ in range(rng.randint(1, 70))) for _ in range(9)) for _ in range(200))]
+    whole = []
+
+    class Spy:
+        def encode_batch_fast(self, chunks, **kw):
+            whole.extend(chunks)
+            return library.encode_batch_fast(chunks, **kw)
+
+    monkeypatch.setattr(own, "tokenizer", Spy())
+    assert [g.tolist() for g in own.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    assert len(letters) > 400 and not whole
+
+
+def test_no_cache_outlives_a_task(spark):
+    """A reused worker that another stage's tasks pass by keeps nothing."""
+    docs = spark.createDataFrame([(k, f"word{k} some") for k in range(40)], "doc_id long, text string").repartition(2)
+    packing.encode_pieces(docs, packing.TOKENIZER, 0, 64).collect()
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(encoder(packing.TOKENIZER).place)], pa.int64())})
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
+
+
 ROWS = [(3, "c c c"), (1, None), (2, ""), (1, None), (None, "nobody"), (4, "word " * 5000), *((k, t) for k, t in enumerate(texts(150), 10))]
 
 

@@ -57,6 +57,14 @@ def bounded_batches(spark: SparkSession) -> None:
 _held: list[tuple[str, Callable[[], None]]] = []
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def holds_cache(owner: str, clear: Callable[[], None]) -> None:
     """Called in a Python worker by an operator that keeps a cache there: Spark reuses workers, so what another one keeps goes.
 
@@ -64,13 +72,16 @@ def holds_cache(owner: str, clear: Callable[[], None]) -> None:
     """
     if _held and _held[0][0] != owner:
         _held.pop()[1]()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
+        _trim()
     _held[:] = [(owner, clear)]
 
 
+def release(clear: Callable[[], None]) -> None:
+    """Called at the end of a task: a worker that then waits for others' work, or none, keeps no cache through later stages."""
+    clear()
+    _trim()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,8 @@
 """Token ids of whole texts, by the tokenizers library behind a bounded cache of chunks.
 
 Neither vocabulary file forms a token across the border from a character to an ASCII white-space character, so a text may
-be cut there, and at some safe places within words, and each distinct chunk encoded once. Texts with other Unicode white
+be cut there, and at some safe places within words, and each distinct chunk encoded once. A chunk that is a run of Latin letters
+is one piece to the model, which is then called without the steps before it; those take most of the time of short chunks. Texts with other Unicode white
 space or the string of a special token are encoded whole, because those may reach across such a place. ``tests/llm/test_tokens.py`` compares the result with the library's own.
 """
 from __future__ import annotations
@@ -27,6 +28,18 @@ _LETTERS = rf"[{_LATIN}]+(?=[\x00-@\[-`{{-\x7f]|$)"
 _MARKS = rf"[!-&(-/:-@\[-`{{-~]+(?=[ \t\n\r\v\f{_LATIN}0-9]|$)"
 _WITH_SPACE = re.compile(rf"[\t\n\r\v\f](?=[^ \t\n\r\v\f])| ?{_LETTERS}| ?{_MARKS}|[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 _NO_SPACE = re.compile(rf"{_LETTERS}|{_MARKS}|[^ \t\n\r\v\f]+")
+_WORD = re.compile(rf" ?[{_LATIN}]+").fullmatch
+#: Normaliser and pre-tokenizer by which a run of Latin letters, a space before it or not, is one piece: whether in lower case.
+_ONE_PIECE = {
+    ("None", "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"): False,
+    (
+        r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])',
+        r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""",
+    ): True,
+}
+# The characters by which byte-level models write bytes.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 #: Chunks of more characters are encoded but not kept.
 KEPT_CHARS = 64
 #: The cache starts anew at so many chunks; some 200 bytes each.
@@ -56,25 +69,52 @@ class Encoder:
         # A vocabulary that drops white space gives no ids for it, so chunks need not carry theirs.
         drops = not self.tokenizer.encode(" \n a \t", add_special_tokens=False).ids[1:]
         self.cut = (_NO_SPACE if drops else _WITH_SPACE).findall
-        self._clear()
+        self.model = self.tokenizer.model
+        plain = getattr(self.model, "dropout", 0) is None
+        self.lower = _ONE_PIECE.get((str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer))) if plain else None
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.count = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32)
         self.n = 0
 
+    def _ids(self, chunks: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """The chunks in another order, the number of ids of each, and the ids one after the other."""
+        counts: list[int] = []
+        flat: list[int] = []
+        rest = chunks
+        if self.lower is not None:
+            rest = [c for c in chunks if not _WORD(c)]
+            plain = [c for c in chunks if _WORD(c)] if rest else chunks
+            chunks = plain + rest
+            tokenize, lower, before = self.model.tokenize, self.lower, 0
+            for piece in plain:
+                if lower:
+                    piece = piece.lower()
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin-1").translate(_BYTES)
+                elif piece[0] == " ":
+                    piece = "\u0120" + piece[1:]
+                flat += [t.id for t in tokenize(piece)]
+                counts.append(len(flat) - before)
+                before = len(flat)
+        for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            counts.append(len(e.ids))
+            flat += e.ids
+        return chunks, counts, flat
+
     def _add(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            part, counts, ids = self._ids(chunks[at : at + 20_000])
+            count = np.array(counts, np.int64)
             ends = np.cumsum(count)
             while self.used + ends[-1] > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             while self.n + len(part) > len(self.offset):
                 self.offset, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.offset, self.count))
-            self.flat[self.used : self.used + ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1])
+            self.flat[self.used : self.used + ends[-1]] = ids
             self.offset[self.n : self.n + len(part)], self.count[self.n : self.n + len(part)] = self.used + ends - count, count
             self.place.update(zip(part, range(self.n, self.n + len(part)), strict=True))
             self.used += int(ends[-1])
@@ -91,7 +131,7 @@ class Encoder:
         new = dict.fromkeys(flat[k] for k in np.flatnonzero(at < 0).tolist())
         if new:
             if len(self.place) and (len(self.place) + len(new) > KEPT_CHUNKS or self.used > KEPT_IDS):
-                self._clear()
+                self.forget()
                 new = dict.fromkeys(flat)
             self._add(list(new))
             missing = np.flatnonzero(at < 0) if len(new) < self.n else np.arange(len(flat))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, holds_cache, table
+from .common import bounded_batches, holds_cache, release, table
 
 DIMENSIONS = 4096
 #: Labelled rows a language that the classifiers are fitted on, about.
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
         holds_cache("language", own.forget)
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang", "score"])
+        release(own.forget)
 
     # Told apart from plain functions, so that a filter on the result doesn't make Spark evaluate it twice.
     return docs.withColumn(out_col, predicted.asNondeterministic()(F.col(text_col)))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, release, stored, table
 from .encoder import encoder
 
 CAPACITY = 2048
@@ -49,13 +49,13 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, w
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(doc_ids), 512):
                 rows, flat = [], []
-                for doc_id, ids in zip(doc_ids[at : at + 512], encode(texts.slice(at, 512).to_pylist()), strict=True):
+                for doc_id, ids in zip(doc_ids[at : at + 512], own.encode(texts.slice(at, 512).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     flat.append(ids)
                     for k, (a, b) in enumerate(cut(len(ids), capacity)):
@@ -66,6 +66,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, w
                     ends = np.concatenate(([0], np.cumsum([r[4] for r in rows]))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release(own.forget)
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(pieces, schema)

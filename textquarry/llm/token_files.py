@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, stored, table
+from .common import bounded_batches, release, shared_dir, stored, table
 from .encoder import encoder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -97,6 +97,7 @@ def write_token_files(
                         at += len(framed)
                         n_docs += 1
                         n_tokens += len(body) // width
+        release(own.forget)
         with fs.open_output_stream(f"{part}.index") as out:
             out.write(b"".join(index))
         fs.move(f"{part}.index", f"{name}.index")
