@@ -26,6 +26,15 @@ def test_functions(spark):
     assert one(spark, T.conversation_title(F.lit("a  b " * 20)))[-1] == "…"
 
 
+def test_pieces_are_trimmed_of_spaces_not_of_their_place(spark):
+    assert one(spark, T.sentences(F.lit("a. . \u3000! \u00a0"))) == ["a.", ".", "!"]
+    assert one(spark, T.sentences(F.lit("0 a. 1 b1.2 "))) == ["0 a.", "1 b1.", "2"]
+    assert one(spark, structure.paragraphs(F.lit("0 a0\n\n 1 b1\n\n \u00a0"))) == ["0 a0", "1 b1"]
+    assert one(spark, T.markdown_grid(F.lit("| 0 | 10 |"))) == [["0", "10"]]
+    lines = spark.createDataFrame([("p", 1, "| 0 | 10 |")], "path string, line_no int, line string")
+    assert files.markdown_rows(lines).first().cells == ["0", "10"]
+
+
 def test_chunks_cover_blocks(spark):
     text = "第一章 总则\n第一条 " + "内容。" * 500 + "\n第二条 短。\n第二章 附则\n第三条 末。"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 3000)], "doc_id long, text string")

@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType
 UNIT = "\x1f"
 LATIN_TOKEN = r"[a-z0-9]+(?:[._/-][a-z0-9]+)*"
 HAN_RUN = r"\p{IsHan}+"
+#: Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -32,6 +34,11 @@ def nz(*cs) -> Column:
     return F.coalesce(*(F.nullif(col(c), F.lit("")) for c in cs), F.lit(""))
 
 
+def trimmed(c) -> Column:
+    """Without space separators at either end. Of one argument: ``F.transform`` would give F.trim the index as what to trim."""
+    return F.trim(col(c), F.lit(SPACES))
+
+
 def clean(c) -> Column:
     """Line ends, control characters, runs of blanks, spaces at line starts, at most one empty line, trimmed."""
     x = F.regexp_replace(col(c), r"\r\n?", "\n")
@@ -112,7 +119,7 @@ def iso_date(c) -> Column:
 def sentences(c, delimiters: str = ".!?") -> Column:
     """Pieces that end with their delimiter, without empty ones."""
     kept = F.split(col(c), f"(?<=[{re.escape(delimiters)}])")
-    return F.filter(F.transform(kept, F.trim), lambda s: s != "")
+    return F.filter(F.transform(kept, trimmed), lambda s: s != "")
 
 
 def markdown_row(cells: Column) -> Column:
@@ -132,7 +139,7 @@ def markdown_table(rows: Column) -> Column:
 def markdown_grid(c) -> Column:
     """Cells of a Markdown table's rows, rules left out."""
     lines = F.filter(F.split(col(c), "\n"), lambda x: F.trim(x).startswith("|") & ~F.trim(x).rlike(r"^\|(?:\s*:?-{2,}:?\s*\|)+$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), trimmed))
 
 
 def table_sentences(headers: Column, row: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import compact, nz
+from textquarry.functions.text import compact, nz, trimmed
 
 from .retrieval import ranked
 
@@ -127,7 +127,7 @@ def margin_lines(pages: DataFrame, by: str, page: str, text: str, edge: int = 2)
 
     Two pages up to five pages, then a third of the pages, rounded up, and three at least.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
     ends = F.array_distinct(F.concat(F.slice(lines, 1, edge), F.reverse(F.slice(F.reverse(lines), 1, edge))))
     count = pages.groupBy(by).agg(F.countDistinct(page).alias("pages"))
     seen = pages.select(by, page, F.explode(ends).alias("line")).groupBy(by, "line").agg(F.countDistinct(page).alias("n"))

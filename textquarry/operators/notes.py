@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import compact, note_tokens
+from textquarry.functions.text import compact, note_tokens, trimmed
 
 from .retrieval import ranked
 
@@ -41,7 +41,7 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tags(c: Column, most: int = TAGS) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(c, F.trim), lambda t: t != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(c, trimmed), lambda t: t != "")), 1, most)
 
 
 def by_ids(notes: DataFrame, ids: list) -> DataFrame:

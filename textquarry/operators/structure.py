@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import nfkc
+from textquarry.functions.text import nfkc, trimmed
 
 MAX_CHARS = 1200
 
@@ -43,7 +43,7 @@ def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 def paragraphs(c: Column) -> Column:
     """Pieces between blank lines or before a Markdown heading."""
-    return F.filter(F.transform(F.split(c, r"\n\s*\n|\n(?=#{1,6}\s)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\n\s*\n|\n(?=#{1,6}\s)"), trimmed), lambda x: x != "")
 
 
 def classify(c: Column, heading_chars: int = 36) -> Column:

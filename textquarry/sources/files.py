@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from textquarry.functions.text import trimmed
+
 SUFFIXES = ("pdf", "docx", "doc", "xlsx", "txt", "md", "html", "htm")
 BLOCKS = "path string, block_seq int, source_kind string, style string, text string, warnings array<string>"
 
@@ -170,7 +172,7 @@ def embedded_json(c: Column, element_id: str, schema: str) -> Column:
 def markdown_rows(lines: DataFrame, least: int = 2) -> DataFrame:
     """(path, line_no, section, cells) of table rows with ``least`` cells or more; section: the last ## heading."""
     order = Window.partitionBy("path").orderBy("line_no")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), trimmed)
     section = F.last(F.when(F.col("line").rlike(r"^##\s"), F.trim(F.regexp_replace("line", r"^#+\s*", ""))), ignorenulls=True).over(order)
     rows = lines.withColumn("section", section).withColumn("cells", cells)
     return rows.where(F.trim("line").startswith("|") & ~F.trim("line").rlike(r"^\|(?:\s*:?-{2,}:?\s*\|)+$") & (F.size("cells") >= least)).select("path", "line_no", "section", "cells")
