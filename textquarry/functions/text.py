@@ -81,13 +81,17 @@ def title_key(c, kind: str = "retrieval") -> Column:
     return F.lower(F.regexp_replace(x, r"""(?U)[\s·•・“”‘’"'《》<>【】\[\],，.。;；:：!！?？]""", ""))
 
 
+def han_pairs(c) -> Column:
+    """Overlapping pairs of each run of Han characters; a single one by itself."""
+    pairs = lambda run: F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
+    return F.flatten(F.transform(F.regexp_extract_all(col(c), F.lit(HAN_RUN), F.lit(0)), pairs))
+
+
 def tokens(c, terms: tuple[str, ...] = ()) -> Column:
     """Latin words, overlapping pairs of Han runs, and ``term:`` tokens of a dictionary, repeats kept."""
     x = F.lower(col(c))
     latin = F.regexp_extract_all(x, F.lit(LATIN_TOKEN), F.lit(0))
-    pairs = lambda run: F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
-    han = F.flatten(F.transform(F.regexp_extract_all(x, F.lit(HAN_RUN), F.lit(0)), pairs))
-    parts = [latin, han]
+    parts = [latin, han_pairs(x)]
     if terms:
         known = F.array(*(F.lit(t.lower()) for t in terms))
         parts.append(F.transform(F.filter(known, lambda t: F.contains(x, t)), lambda t: F.concat(F.lit("term:"), t)))

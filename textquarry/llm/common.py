@@ -2,58 +2,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.session import BATCH_BYTES, bounded_batches, shared_dir, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _local_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="textquarry-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
-
-    Only in local mode, where both are one process, a local folder takes the place of a missing setting.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: later steps read it from there, whatever executors are lost."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Bytes of a batch of rows between the JVM and Python: what bounds a worker's memory where texts are long.
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Has Spark cut Arrow batches at ``BATCH_BYTES`` too, not by 10,000 rows alone. It is a setting of the session, which a
-    caller may lower further; a single row is never cut."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_ = spark.conf.get(name, None)
-    if set_ is None or not set_.isdigit() or not 0 < int(set_) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 _held: list[tuple[str, Callable[[], None]]] = []
 
 
