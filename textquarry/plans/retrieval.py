@@ -49,12 +49,12 @@ def _vector(t: Tables):
     return R.cosine_search(seeds, t.embeddings).select("query_id", F.col("id").alias("doc_id"), "vector", "rank")
 
 
-def _fused(t: Tables):
-    return R.reciprocal_rank_fusion(_bm25(t), _vector(t))
+def _fused(t: Tables, bm25=None):
+    return R.reciprocal_rank_fusion(_bm25(t) if bm25 is None else bm25, _vector(t))
 
 
-def _capped(t: Tables):
-    return R.diversify(_fused(t).join(t.documents.select("doc_id", "source"), "doc_id"), "source")
+def _capped(t: Tables, bm25=None):
+    return R.diversify(_fused(t, bm25).join(t.documents.select("doc_id", "source"), "doc_id"), "source")
 
 
 @C.add(f"WITH {TOKENS} SELECT query_id, doc_id, bm25, rank FROM bm")
@@ -92,7 +92,8 @@ def flagship(t: Tables):
   FROM top10 t JOIN documents d USING (doc_id)) WHERE k = 1""")
 def r6_evidence_dedup(t: Tables):
     """Hits whose whitespace-free text a better hit of the query has go."""
-    hits = _capped(t).join(t.documents.select("doc_id", F.sha2(T.compact("text"), 256).alias("text_hash")), "doc_id")
+    # Ten rows a query go to the documents, whose texts stay where they are read; only the hits' are hashed.
+    hits = t.documents.select("doc_id", "text").join(F.broadcast(_capped(t)), "doc_id").withColumn("text_hash", F.sha2(T.compact("text"), 256))
     first = F.row_number().over(Window.partitionBy("query_id", "text_hash").orderBy("rank"))
     return hits.withColumn("k", first).where("k = 1").select("query_id", "doc_id", "rank", "text_hash")
 
@@ -108,7 +109,8 @@ def r6_evidence(t: Tables):
 def r12_multi_query_merge(t: Tables):
     """Two ranked lists a query (whole item, its first line), interleaved by turns."""
     short = t.benchmark.select("item_id", T.latin_lead("text").alias("text"))
-    lists = _bm25(t).select("query_id", F.lit(0).alias("list_no"), "rank", "doc_id").unionByName(R.bm25_search(short, t.documents).select("query_id", F.lit(1).alias("list_no"), "rank", "doc_id"))
+    both = t.benchmark.select((F.col("item_id") * 2).alias("item_id"), "text").unionByName(short.select((F.col("item_id") * 2 + 1).alias("item_id"), "text"))
+    lists = R.bm25_search(both, t.documents).select(F.expr("query_id div 2").alias("query_id"), F.pmod("query_id", F.lit(2)).cast("int").alias("list_no"), "rank", "doc_id")
     return R.interleave(lists)
 
 
@@ -125,7 +127,8 @@ def r14_score_norm(t: Tables):
  SELECT * FROM o WHERE position <= 10""")
 def r15_two_round_merge(t: Tables):
     """Retained hits before the new round's, first occurrences only, then the caps."""
-    u = _capped(t).select("query_id", "doc_id", F.lit(0).alias("src"), "rank").unionByName(_bm25(t).where("rank <= 10").select("query_id", "doc_id", F.lit(1).alias("src"), "rank"))
+    bm25 = _bm25(t)
+    u = _capped(t, bm25).select("query_id", "doc_id", F.lit(0).alias("src"), "rank").unionByName(bm25.where("rank <= 10").select("query_id", "doc_id", F.lit(1).alias("src"), "rank"))
     firsts = R.ranked(u, ["query_id", "doc_id"], [F.col("src"), F.col("rank")], 1, "k").join(t.documents.select("doc_id", "source"), "doc_id")
     kept = R.ranked(firsts, ["query_id", "source"], [F.col("src"), F.col("rank")], 3, "g")
     return R.ranked(kept, ["query_id"], [F.col("src"), F.col("rank")], 10, "position").select("query_id", "doc_id", "position")
