@@ -1,4 +1,6 @@
 """The chunker's steps on small documents."""
+import random
+
 from textquarry.functions.numbers import han_value
 from textquarry.operators import chunker as C
 from textquarry.operators import structure
@@ -104,3 +106,28 @@ def test_headings_merge_forward_and_short_tails_back():
     got = C.pack([unit("a" * 1199), unit("第二章 总则", "chapter"), unit("b" * 1000), unit("c" * 190)])
     assert [u.text[:2] for u in got[1]] == ["第二", "bb", "cc"]
     assert len(C.pack([unit("a" * 1100), unit("d" * 150), unit("e" * 1100)])) == 3
+
+
+def test_lines_are_classified_alike_in_python(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    parts = ["第一章", "第 二 条", "第三节", "第四款", "第五部分", "（一）", "( 2)", "3.", "4．5.6", "五、", "附件 七", "附录", "|", "....", "……", "·" * 7, "标题", "a", " ", "\t", "\r", " ", " ", "。", ";", "１", "x" * 40]
+    lines = ["".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(4000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string").select("k", structure.classify(F.col("x")).alias("c"))
+    for r in df.collect():
+        assert structure.classified(lines[r.k]) == (r.c.kind, r.c.marker), repr(lines[r.k])
+
+
+def test_a_document_is_chunked_where_it_is_read(spark):
+    from pyspark.sql import functions as F
+
+    from textquarry.functions import text as T
+
+    docs = spark.createDataFrame([(1, "s", "a\x1cb c　d\n第一条 短。"), (2, "s", None), (3, "s", " \n"), (4, None, "句子在这里。" * 500)], "doc_id long, source string, text string")
+    got = C.chunk_documents(docs, title_col="source")
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan
+    rows = got.withColumn("n", T.body_chars("body_text")).where(F.col("doc_id") == 1).collect()
+    assert [r.character_count for r in rows] == [len("a\x1cbcd第一条短。")] and rows[0].context_prefix == "s"
+    assert {r.doc_id for r in got.collect()} == {1, 4}

@@ -58,6 +58,29 @@ def classify(c: Column, heading_chars: int = 36) -> Column:
     return out.when(short, F.struct(F.lit("heading").alias("kind"), x.alias("marker"))).otherwise(F.struct(F.lit("text").alias("kind"), F.lit("").alias("marker")))
 
 
+#: Java's $ also stands before a last line terminator.
+_END = r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+_LEADERS, _NUMBERED, _NUMBER = (re.compile(p, re.A) for p in (r"\.{4,}|[…·]{6,}", r"\d+[.．]\d+", r"\d+(?:[.．]\d+)+"))
+_MARKS = tuple((kind, re.compile(pattern.removeprefix("^").replace("$", _END), re.A)) for kind, _, pattern in MARKERS)
+_STOP = re.compile(r"[。！？；.!?;,，]" + _END, re.A)
+_BLANKS = re.compile(r"\s+", re.A)
+
+
+def classified(line: str, heading_chars: int = 36) -> tuple[str, str]:
+    """``classify`` of one line in Python, for steps that hold a document there: (kind, marker)."""
+    x = line.strip(" ")
+    if x.startswith("|"):
+        return "table", ""
+    if _LEADERS.search(x):
+        return "text", ""
+    if _NUMBERED.match(x):
+        return "subitem", _NUMBER.match(x)[0]
+    for kind, mark in _MARKS:
+        if found := mark.match(x):
+            return kind, _BLANKS.sub("", found[1])
+    return ("heading", x) if 0 < len(x) <= heading_chars and not _STOP.search(x) else ("text", "")
+
+
 def with_hierarchy(blocks: DataFrame) -> DataFrame:
     """kind, marker, and for each level the nearest heading above that no higher level has closed."""
     b = blocks.withColumn("c", classify(F.col("text"))).withColumn("kind", F.col("c.kind")).withColumn("marker", F.col("c.marker")).drop("c")
