@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from textquarry.session import bounded_batches
+
 LEAST = 12
 
 
@@ -55,6 +57,7 @@ def validate_citations(basis: DataFrame, hits: DataFrame) -> DataFrame:
 
     A basis row with an unknown id or a quote that isn't there is an issue; repeated (id, quote) rows count once.
     """
+    bounded_batches(basis.sparkSession)
     met = basis.dropDuplicates(["answer_id", "evidence_id", "quote"]).join(hits.select("evidence_id", "text", F.lit(True).alias("known")), "evidence_id", "left")
     found = met.withColumn("a", F.when(F.col("known") & F.contains("text", F.col("quote")), F.struct(F.col("quote"), F.lit("exact").alias("how"))).when(F.col("known"), _aligned("text", "quote")))
     status = F.when(F.col("known").isNull(), "unknown_id").otherwise(F.coalesce("a.how", F.lit("missing")))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import bounded_batches
+
 # Unit classes, boundary words and modal words by polarity.
 UNITS = {"%": "percent", "％": "percent", "万元": "wan", "亿元": "yi", "元": "yuan", "日": "day", "天": "day", "个月": "month", "月": "month", "年": "year", "人": "person", "家": "entity", "eur": "eur", "days": "day", "day": "day", "years": "year"}
 BOUNDS = (("不低于", ">="), ("不少于", ">="), ("以上", ">="), ("不超过", "<="), ("不高于", "<="), ("超过", ">"), ("低于", "<"), ("少于", "<"), ("at least", ">="), ("at most", "<="), ("more than", ">"), ("less than", "<"))
@@ -100,6 +102,7 @@ def judge_answers(answers: DataFrame) -> DataFrame:
             rows = [(i, *judge(a, t, q)) for i, a, t, q in zip(b["question_id"], b["answer"], b["truth"], b["question"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
+    bounded_batches(answers.sparkSession)
     return answers.select("question_id", "question", "truth", "answer").mapInPandas(each, JUDGED)
 
 

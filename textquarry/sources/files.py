@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from textquarry.functions.text import trimmed
+from textquarry.session import bounded_batches
 
 SUFFIXES = ("pdf", "docx", "doc", "xlsx", "txt", "md", "html", "htm")
 BLOCKS = "path string, block_seq int, source_kind string, style string, text string, warnings array<string>"
@@ -148,10 +149,16 @@ def html_texts(source: str | None) -> list[str]:
 
 
 @F.pandas_udf(StringType())
-def html_text_nodes(sources: pd.Series) -> pd.Series:
+def _text_nodes(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: "\n".join(html_texts(s)))
 
 
+def html_text_nodes(c) -> Column:
+    """The text nodes of a page, a line each. Batches are bounded by bytes, as a page is as long as it likes."""
+    bounded_batches(SparkSession.getActiveSession())
+    return _text_nodes(c)
+
+
 def text_blocks(files: DataFrame) -> DataFrame:
     """Paragraphs of text files (path, content), split at blank lines and before Markdown headings."""
     from textquarry.operators.structure import paragraphs
