@@ -338,18 +338,27 @@ def top(rows: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFrame:
 
 
 # Index bundle and its gates
-def input_fingerprint(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """One row: rows, and a hash of what is embedded that neither the order of rows nor their partitions change.
+def row_digests(corpus: DataFrame, id_col: str, text: Column, *keep: str) -> DataFrame:
+    """SHA-256 of each (id, text) row, beside the columns to keep."""
+    return corpus.select(id_col, *keep, F.sha2(F.concat_ws("\x01", F.col(id_col).cast("string"), text), 256).alias("digest"))
+
+
+def fingerprint(digests: DataFrame) -> DataFrame:
+    """One row: rows, and a hash that neither the order of the digests nor their partitions change.
 
-    SHA-256 of each (id, text) row; their first 62 bits are summed modulo 2**62 in four lanes.
+    60 of every 64 bits of a digest are summed modulo 2**60, in four lanes.
     """
-    h = F.sha2(F.concat_ws("\x01", F.col(id_col).cast("string"), text), 256)
-    lanes = [F.conv(F.substring(h, 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    lanes = [F.conv(F.substring("digest", 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
     sums = [F.pmod(F.sum(x), F.lit(1 << 60).cast("decimal(38,0)")).cast("string").alias(f"l{k}") for k, x in enumerate(lanes)]
-    one = corpus.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    one = digests.agg(F.count(F.lit(1)).alias("rows"), *sums)
     return one.select("rows", F.sha2(F.concat_ws("|", *(F.coalesce(f"l{k}", F.lit("0")) for k in range(4))), 256).alias("fingerprint"))
 
 
+def input_fingerprint(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``fingerprint`` of what is embedded."""
+    return fingerprint(row_digests(corpus, id_col, text))
+
+
 def check_bundle(corpus: DataFrame, vectors: DataFrame, manifest: dict, id_col: str, text: Column, dimension: int) -> None:
     """Raises unless counts, fingerprint, ids and dimensions of a stored index are those of the corpus."""
     now = input_fingerprint(corpus, id_col, text).first()
