@@ -154,7 +154,7 @@ def a9_block_coverage(t: Tables):
 @C.add()
 def d16_front_matter(t: Tables):
     """What the front-matter rules remove; a document's first line stands for its title."""
-    blocks = structure.blocks_of(t.documents).join(t.documents.select("doc_id", T.latin_lead("text").alias("document_title")), "doc_id")
+    blocks = t.documents.select("doc_id", T.latin_lead("text").alias("document_title"), F.posexplode(F.split("text", r"\n")).alias("block_seq", "text"))
     return front_matter.judge(blocks).where("rule_id <> ''").select("doc_id", F.col("block_seq").cast("long").alias("block_seq"), "rule_id")
 
 
